@@ -27,7 +27,7 @@ from caselens.llm.common import each_table, ready, table_columns
 
 NONE = np.int64(1) << 40
 #: Distinct pieces of text that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: A blank between white space: there a run of white space can't be cut before the blank.
 _blanks = re.compile(r"\s (?!\S)").search
 

@@ -17,7 +17,7 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Records per Arrow batch, so that batches of long texts stay small.
 BATCH_ROWS = 256
 #: Bytes of text that a task gathers before it works on them.
-GATHER_BYTES = 24 << 20
+GATHER_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:

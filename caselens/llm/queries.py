@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.llm import bpe
+from caselens.llm import bpe, packing, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_token_counts": unigram.op7_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
