@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.llm import bpe, packing, unigram
+from caselens.llm import bpe, chat, packing, rules, secret_scan, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_quality_rules": rules.op2_quality_rules,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_counts": unigram.op7_token_counts,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_chat_formatting": chat.op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": rules.OP2_SQL,
+    "op9_secret_scan": secret_scan.OP9_SQL,
+    "op10_chat_formatting": chat.OP10_SQL,
+}
