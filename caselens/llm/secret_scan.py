@@ -49,6 +49,22 @@ def _value(kind: str, match: Column) -> Column:
     return F.xxhash64(F.regexp_extract(match, ASSIGN, 1) if kind == "assign" else match)
 
 
+def _placed(kind: str, n: int) -> Column:
+    """The kept spans of a kind from its hits and the gaps between them."""
+    c = f"_{kind}"
+    sized = F.expr(f"transform({c}.hits, (x, i) -> struct(x as hit, length(get({c}.gaps, i)) as gap, length(x) as size))")
+    placed = F.aggregate(
+        sized,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>").alias("out")),
+        lambda a, x: F.struct(
+            (a["at"] + x["gap"] + x["size"]).alias("at"),
+            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(n).alias("kind"), (a["at"] + x["gap"] + x["size"]).alias("end"), x["hit"].alias("hit")))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    return F.transform(F.filter(placed, lambda s: _kept(kind, s["hit"])), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _value(kind, s["hit"]).alias("value")))
+
+
 def found_spans(docs: DataFrame, text: str) -> DataFrame:
     """docs with `spans`: (start, kind, end, value) in code points, end exclusive, by start
     and then kind; value is a hash of the secret. A `key` span overlaps no base span."""
@@ -57,19 +73,7 @@ def found_spans(docs: DataFrame, text: str) -> DataFrame:
         has = F.col(text).rlike(pattern)
         t = t.withColumn(f"_{kind}", F.when(has, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))))
     for n, kind in enumerate(PATTERNS):
-        c = f"_{kind}"
-        sized = F.expr(f"transform({c}.hits, (x, i) -> struct(x as hit, length(get({c}.gaps, i)) as gap, length(x) as size))")
-        placed = F.aggregate(
-            sized,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>").alias("out")),
-            lambda a, x, n=n: F.struct(
-                (a["at"] + x["gap"] + x["size"]).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(n).alias("kind"), (a["at"] + x["gap"] + x["size"]).alias("end"), x["hit"].alias("hit")))).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
-        good = F.filter(placed, lambda s, kind=kind: _kept(kind, s["hit"]))
-        t = t.withColumn(c, F.when(F.col(c).isNotNull(), F.transform(good, lambda s, kind=kind: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _value(kind, s["hit"]).alias("value")))).otherwise(F.array().cast(SPAN)))
+        t = t.withColumn(f"_{kind}", F.when(F.col(f"_{kind}").isNotNull(), _placed(kind, n)).otherwise(F.array().cast(SPAN)))
     t = t.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in BASE)))
     free = F.filter("_key", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return t.withColumn("spans", F.sort_array(F.concat("_base", free))).drop("_base", *(f"_{k}" for k in PATTERNS))
@@ -89,14 +93,28 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
     repository = F.concat_ws("/", owner, F.col("lang")) if repository is None else F.col(repository) if isinstance(repository, str) else repository
     slim = table_columns(docs, {"key": F.col(key), "text": F.coalesce(F.col(text), F.lit("")), "owner": F.coalesce(owner.cast("string"), F.lit("")), "repository": F.coalesce(repository.cast("string"), F.lit(""))})
     found = stored(found_spans(slim, "text").drop("text"), "spans")
+    both = _with_examples(found, _examples(found))
+    return both.select(F.col("key").alias(key), _reported().alias("spans"))
+
+
+def _examples(found: DataFrame) -> DataFrame:
+    """(of, examples): the copied values among each key's candidates. Counts go by value,
+    owner and repository first; only copied values, of which there are far fewer than
+    candidates, meet the candidates again, dealt into parts."""
     each = found.filter(F.size("spans") > 0).select("key", "owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
     held = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
     copied = held.filter((F.col("owners") > MOST_OWNERS) | (F.col("repositories") > MOST_REPOSITORIES)).select(F.col("value").alias("copied"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     dealt = each.select("key", "value", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
-    examples = dealt.join(copied, (dealt["value"] == copied["copied"]) & (dealt["salt"] == copied["part"])).groupBy(F.col("key").alias("of")).agg(F.collect_set("value").alias("examples"))
-    both = found.join(examples, found["key"].eqNullSafe(examples["of"]), "left")
+    return dealt.join(copied, (dealt["value"] == copied["copied"]) & (dealt["salt"] == copied["part"])).groupBy(F.col("key").alias("of")).agg(F.collect_set("value").alias("examples"))
+
+
+def _with_examples(found: DataFrame, examples: DataFrame) -> DataFrame:
+    return found.join(examples, found["key"].eqNullSafe(examples["of"]), "left")
+
+
+def _reported() -> Column:
     marked = F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"], (~F.coalesce(F.array_contains("examples", s["value"]), F.lit(False))).alias("live")))
-    return both.select(F.col("key").alias(key), F.filter(marked, lambda s: s["live"] | (s["kind"] < len(BASE))).alias("spans"))
+    return F.filter(marked, lambda s: s["live"] | (s["kind"] < len(BASE)))
 
 
 def _named(spans: Column) -> Column:
@@ -109,10 +127,15 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Spans that touch or overlap become one mark. Texts without spans stay as they are.
     """
-    own = scanned(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("of"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("cuts")).dropDuplicates(["of"])
-    t = docs.join(own, docs["doc_id"].eqNullSafe(own["of"]), "left")
+    ready(docs.sparkSession)
+    owner = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    t = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), owner.alias("owner"), F.concat_ws("/", owner, "lang").alias("repository"))
+    t = stored(found_spans(t, "text"), "spans")
+    unsure = F.exists("spans", lambda s: s["kind"] >= len(BASE))  # only these wait for the corpus
+    sure = t.filter(~unsure).withColumn("examples", F.array().cast("array<bigint>"))
+    t = sure.unionByName(_with_examples(t.filter(unsure), _examples(t.drop("text", "row"))).drop("of"))
     built = F.aggregate(
-        "cuts",
+        _reported(),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -120,16 +143,15 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(built)
-    kinds = {f.name: f.dataType for f in docs.schema}
-    t = t.withColumn("text", text).withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kinds["n_chars"])) if "n_chars" in kinds else t.withColumn("text", text)
-    return t.select(*docs.columns)
+    t = t.select("row", F.when(F.size("spans") > 0, built).alias("changed"))
+    new = {"text": F.coalesce("changed", "row.text"), "n_chars": F.when(F.col("changed").isNull(), F.col("row.n_chars")).otherwise(F.length("changed").cast("long"))}
+    return t.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     t = scanned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
+    counts = [F.expr(f"size(filter(spans, s -> s.kind = {n}))").cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
     return t.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
 
 
