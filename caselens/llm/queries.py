@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.llm import bpe, chat, packing, quality, rules, secret_scan, unigram
+from caselens.llm import bpe, chat, packing, quality, rules, secret_scan, toxicity, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_quality_rules": rules.op2_quality_rules,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_counts": unigram.op7_token_counts,
     "op9_secret_scan": secret_scan.op9_secret_scan,
