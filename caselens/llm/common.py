@@ -24,6 +24,7 @@ def ready(spark: SparkSession) -> SparkSession:
     """The source shipped, and Arrow batches bounded for columns of long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(GATHER_BYTES))
     return ship(spark)
 
 
