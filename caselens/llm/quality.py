@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from caselens.llm.common import ready, table_columns
 from caselens.llm.rules import words
-from caselens.session import stored
 
 #: Labelled rows that the trees and weights are fitted on, at most.
 SAMPLE = 10_000
@@ -61,11 +60,12 @@ def statistics(text: str) -> dict[str, Column]:
 STATISTICS = ("log_words", "mean_word", "distinct_words", "upper", "shouts", "pipes", "symbols", "stops", "digits", "lines")
 
 
-def with_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
-    t = table_columns(docs, {"key": F.col(key), "text": F.col(text)})
-    t = t.select("key", "text", words(F.coalesce("text", F.lit(""))).alias("_w"))
+def with_statistics(docs: DataFrame, text: str) -> DataFrame:
+    """(row, statistics): each input row whole, as a struct, with its text's statistics."""
+    t = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = t.select("row", "text", words(F.col("text")).alias("_w"))
     stats = statistics("text")
-    return t.select(F.col("key").alias(key), *(stats[s].alias(s) for s in STATISTICS))
+    return t.select("row", *(stats[s].alias(s) for s in STATISTICS))
 
 
 # -- trees, rules and weights, on the driver from the bounded sample ----------------------------
@@ -190,28 +190,34 @@ def is_held_out(key: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts == part, F.lit(False))
 
 
-def ensemble_from(stats: DataFrame, labels: DataFrame, key: str, label: str, held_out: Column, sample: int = SAMPLE) -> RuleEnsemble:
-    """The ensemble for labelled rows outside the held-out fold; at most `sample` rows by
-    the order of a hash, one for each key. Null labels and keys are left out."""
-    marks = labels.select(F.col(key).alias("of"), F.col(label).cast("int").alias("y")).filter("of is not null and y is not null").groupBy("of").agg(F.max("y").alias("y"))
-    rows = stats.filter(~held_out).join(marks, stats[key] == marks["of"]).select("y", *STATISTICS, F.xxhash64(F.col(key).cast("string")).alias("o"))
-    rows = rows.orderBy("o").limit(sample).toPandas()  # bounded by the parameter
+def ensemble_from(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held_out: Column, sample: int = SAMPLE) -> RuleEnsemble:
+    """The ensemble for labelled rows outside the held-out fold; at most `sample` keys by the
+    order of a hash. Null labels and keys are left out."""
+    marks = labels.select(F.col(key).alias(key), F.col(label).cast("int").alias("y")).filter(F.col(key).isNotNull() & F.col("y").isNotNull()).groupBy(key).agg(F.max("y").alias("y")).filter(~held_out)
+    marks = marks.orderBy(F.xxhash64(F.col(key).cast("string"))).limit(sample).select(F.col(key).alias("of"), "y")
+    rows = table_columns(docs, {"key": F.col(key), "text": F.col(text)}).join(F.broadcast(marks), F.col("key") == F.col("of"))  # bounded by the parameter
+    rows = with_statistics(rows.select("y", "text"), "text").select("row.y", *STATISTICS).toPandas()
     return fitted(rows[list(STATISTICS)].to_numpy(dtype=float), rows["y"].to_numpy())
 
 
-def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", parts: int = 3, part: int = 1, sample: int = SAMPLE) -> DataFrame:
-    """(key, held_out, score, predicted) for every document.
+def with_score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", parts: int = 3, part: int = 1, sample: int = SAMPLE) -> DataFrame:
+    """(row, score): each row of docs whole, as a struct, and its text's score.
 
     Null and empty texts have statistics of 0 and a score like any other. A null key is in
     no held-out fold and never labelled. Repeated rows are scored each; an empty table gives
     no rows. Labels, languages, sources and keys are no inputs of the score.
     """
     ready(docs.sparkSession)
-    stats = stored(with_statistics(docs, key, text), "statistics")
-    fold = is_held_out(key, parts, part)
-    score = ensemble_from(stats, labels, key, label, fold, sample).column()
-    return stats.select(F.col(key), fold.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+    score = ensemble_from(docs, labels, key, text, label, is_held_out(key, parts, part), sample).column()
+    return with_statistics(docs, text).select("row", score.alias("score"))
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier does not reject, as they are."""
+    return with_score(docs, labels).filter(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    t = with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("row.doc_id", "score")
+    return t.select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

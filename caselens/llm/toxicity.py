@@ -22,11 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from caselens.llm.common import each_table, ready, table_columns
+from caselens.llm.common import each_table, gathered, ready, table_columns
 from caselens.llm.quality import is_held_out
 
 #: Bounds of the sample that models are fitted on: toxic and unlabelled documents.
@@ -272,8 +274,8 @@ def sample_for_fit(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     return Sample(found["runs"].to_numpy(), found["y"].to_numpy() == 1, np.repeat(np.arange(len(size)), size), np.frombuffer(b"".join(found["features"]), "<u4"), np.frombuffer(b"".join(found["counts"]), "<u4")), prior
 
 
-def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", parts: int = 5, part: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
-    """(key, held_out, score, predicted) for every document.
+def with_score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", parts: int = 5, part: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
+    """(row, score): each row of docs whole, as a struct, and its text's score.
 
     Null and empty texts hold no features and get the intercept's score. A null key is in no
     held-out fold and never labelled. Repeated rows are scored each; an empty table gives no
@@ -284,12 +286,20 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     def run(batches):
         runs = Runs(model.value.features)
-        yield from each_table(lambda t: pa.table([t["key"], pa.array(model.value.scores(t["text"].to_pylist(), runs))], ["key", "score"]))(batches)
+        for t in gathered(batches):
+            scores = model.value.scores([x or "" for x in pc.struct_field(t["row"], text).to_pylist()], runs)
+            yield from pa.table([t["row"], pa.array(scores, pa.float64())], ["row", "score"]).to_batches()
 
-    slim = table_columns(docs, {"key": F.col(key), "text": F.coalesce(F.col(text), F.lit(""))})
-    out = slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", key)
-    return out.select(F.col(key), is_held_out(key, parts, part).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    t = docs.select(F.struct("*").alias("row"))
+    return t.mapInArrow(run, T.StructType([t.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that do not count as toxic, as they are."""
+    return with_score(docs, labels).filter(F.col("score") < 0.5).select("row.*")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    t = with_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("row.doc_id", "score")
+    return t.select("doc_id", is_held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
