@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from caselens.llm.common import each_table, gathered, ready, table_columns
 from caselens.llm.quality import is_held_out
+from caselens.session import stored
 
 #: Bounds of the sample that models are fitted on: toxic and unlabelled documents.
 POSITIVES = 1_500
@@ -260,10 +261,21 @@ def sample_for_fit(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     toxic = marks.filter("y = 1").orderBy(order).limit(positives)
     others = marks.withColumn("y", F.lit(0)).orderBy(F.xxhash64(F.concat_ws("-", F.lit("u"), F.col(key).cast("string")))).limit(unlabelled)  # toxic ones too: they are unlabelled here
     ids = toxic.unionByName(others).select(F.col(key).alias("of"), "y")
-    rows = table_columns(docs, {"key": F.col(key), "text": F.coalesce(F.col(text), F.lit(""))}).join(F.broadcast(ids), F.col("key") == F.col("of"))  # bounded by the two parameters
+    rows = stored(table_columns(docs, {"key": F.col(key), "text": F.coalesce(F.col(text), F.lit(""))}).join(F.broadcast(ids), F.col("key") == F.col("of")).drop("of"), "sample")  # bounded by the two parameters
+
+    def held(batches):
+        for t in gathered(batches):
+            runs = Runs()
+            found = [x for text in t["text"].to_pylist() for x in runs.counts(text)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["feature"])
+
+    most = rows.filter("y = 1")
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * most.count())
+    common = most.select("text").mapInArrow(held, "feature long").groupBy("feature").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    wanted = {r[0]: r[0] for r in common.select("feature").collect()}  # each in at least LEAST_SHARE of the positives
 
     def run(t: pa.Table) -> pa.Table:
-        runs, out = Runs(), ([], [], [])
+        runs, out = Runs(wanted), ([], [], [])
         for n, found in map(runs.counts, t["text"].to_pylist()):
             for column, v in zip(out, (n, np.array(list(found), dtype="<u4").tobytes(), np.array(list(found.values()), dtype="<u4").tobytes())):
                 column.append(v)
@@ -271,7 +283,7 @@ def sample_for_fit(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
 
     found = rows.select("key", "y", "text").mapInArrow(each_table(run), f"key {rows.schema['key'].dataType.simpleString()}, y int, runs long, features binary, counts binary").toPandas().sort_values(["y", "key"], kind="stable")
     size = [len(f) // 4 for f in found["features"]]
-    return Sample(found["runs"].to_numpy(), found["y"].to_numpy() == 1, np.repeat(np.arange(len(size)), size), np.frombuffer(b"".join(found["features"]), "<u4"), np.frombuffer(b"".join(found["counts"]), "<u4")), prior
+    return Sample(found["runs"].to_numpy(), found["y"].to_numpy() == 1, np.repeat(np.arange(len(size), dtype=np.int32), size), np.frombuffer(b"".join(found["features"]), "<u4"), np.frombuffer(b"".join(found["counts"]), "<u4")), prior
 
 
 def with_score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", parts: int = 5, part: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
