@@ -40,8 +40,9 @@ CAPACITY = 2048
 #: Groups of the linear grouping, and the share of the capacity from which a length is large.
 GROUPS = 64
 LARGE = 2 / 5
-#: Room beyond which sequences are taken apart in the last step; each is tried.
-TAKE_APART = (0, 1, 2, 4, 8, 16, 32)
+#: Room beyond which sequences are taken apart in the last step; each is tried, and -1 takes
+#: apart all, so a plan is never worse than best-fit alone.
+TAKE_APART = (-1, 0, 1, 2, 4, 8, 16, 32)
 #: Pieces of one length that are ranked in one task.
 RANKED = 20_000
 #: Distinct pieces of text that a worker remembers.
