@@ -139,17 +139,19 @@ def chosen_features(s: Sample, prior: float, most: int = FEATURES) -> tuple[np.n
     of_toxic = s.toxic[s.document]
     values, n_docs = np.unique(s.feature[of_toxic], return_counts=True)
     values = values[n_docs >= least]
-    at = np.minimum(np.searchsorted(values, s.feature), max(len(values) - 1, 0))
+    at = np.minimum(np.searchsorted(values, s.feature), max(len(values) - 1, 0)).astype(np.int32)
     keep = np.flatnonzero(values[at] == s.feature) if len(values) else np.zeros(0, int)
-    at, doc, count, of_toxic = at[keep], s.document[keep], s.count[keep].astype(float), of_toxic[keep]
+    at, doc, count, of_toxic = at[keep], s.document[keep], s.count[keep].astype(np.float32), of_toxic[keep]
 
     def share(which: np.ndarray, docs: np.ndarray) -> np.ndarray:
         return np.bincount(at[which], count[which], minlength=len(values)) / max(float(s.runs[docs].sum()), 1.0)
 
     rates = np.maximum(share(~of_toxic, ~s.toxic) - prior * share(of_toxic, s.toxic), 0) / (1 - prior)
-    over = excess(count, s.runs[doc] * rates[at])
-    at = np.concatenate([at + k * len(values) for k in range(len(LEVELS))])  # a column for each feature and level
-    over = np.concatenate([np.maximum(over - level, 0) for level in LEVELS])
+    over = excess(count, (s.runs[doc] * rates[at]).astype(np.float32))
+    more = over > 0  # the rest counts for nothing
+    at, doc, of_toxic, over = at[more], doc[more], of_toxic[more], over[more]
+    at = np.concatenate([at + np.int32(k * len(values)) for k in range(len(LEVELS))])  # a column for each feature and level
+    over = np.concatenate([np.maximum(over - np.float32(level), 0) for level in LEVELS])
     doc, of_toxic, columns = np.tile(doc, len(LEVELS)), np.tile(of_toxic, len(LEVELS)), len(values) * len(LEVELS)
     high = over > HIGH
     n_pos = np.bincount(at[high & of_toxic], minlength=columns)
