@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import getpass
+import atexit
+import functools
 import importlib.util
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,13 +33,21 @@ def build(cores: str = "*", shuffle_partitions: int = 8, app: str = "caselens",
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where the
-    session names none, as in local tests, a folder below the machine's temporary one."""
+    session names none, as in local tests, a folder below the machine's temporary one, which
+    goes when the process ends."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not there:
-        there = f"file://{tempfile.gettempdir()}/caselens-{getpass.getuser()}"
+        there = f"file://{_own_dir()}"
     return f"{there.rstrip('/')}/caselens-{spark.sparkContext.applicationId}"
 
 
+@functools.cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="caselens-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, so
     that a lost executor costs no more than the tasks that read the table."""
