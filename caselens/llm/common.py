@@ -83,21 +83,18 @@ def roots(n: int, pairs: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges.
 
-    Large-star and small-star rounds in DataFrame operations; each round's edges are a
-    written table, of which there are never more than edges given. The number of rounds
-    follows the logarithm of the longest path. Nothing but a changed/unchanged summary
-    comes to the driver. Nulls and loops among the edges are left out; no edges, no rows.
+    Large-star and small-star rounds in DataFrame operations, until every node but the
+    smallest of a component is linked to that one alone; each round's edges are a written
+    table, of which there are never more than edges given. The number of rounds follows the
+    logarithm of the longest path. Only whether it is done comes to the driver. Nulls and
+    loops among the edges are left out; no edges, no rows.
     """
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), (F.col(a).isNull() | F.col(b).isNull()).alias("bad"))
     e = stored(e.filter("not bad and hi <> lo").select("hi", "lo").distinct(), "edges")
-    state = _summary(e)
-    while state[0]:
+    while not _all_stars(e):
         large = _star(e.unionByName(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))), above=True)
         e = stored(large.distinct(), "edges")
         e = stored(_star(e, above=False).distinct(), "edges")
-        if (now := _summary(e)) == state and not _deep(e):
-            break
-        state = now
     stars = e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
@@ -112,10 +109,8 @@ def _star(e: DataFrame, above: bool) -> DataFrame:
     return joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").unionByName(least.select(F.col("node").alias("hi"), F.col("m").alias("lo")))
 
 
-def _summary(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-
-
-def _deep(e: DataFrame) -> bool:
-    """Whether some node is linked both upwards and downwards."""
-    return not e.select(F.col("hi").alias("n")).join(e.select(F.col("lo").alias("n")), "n", "left_semi").isEmpty()
+def _all_stars(e: DataFrame) -> bool:
+    """Whether each node is linked downwards once at most, and none both up and down."""
+    if not e.groupBy("hi").count().filter("count > 1").isEmpty():
+        return False
+    return e.select(F.col("hi").alias("n")).join(e.select(F.col("lo").alias("n")), "n", "left_semi").isEmpty()
