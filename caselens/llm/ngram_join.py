@@ -38,6 +38,8 @@ RECALL = 0.999
 #: Classes of a bucket that are compared at once; larger buckets split, or are tiled.
 SMALL = 256
 TILE = 256
+#: Signatures are small, so more of them make a tile.
+SIGNATURES = 2048
 #: Agreeing coordinates from which a pair of signatures is looked at exactly: the similarity
 #: less four standard deviations of the estimate.
 MARGIN = 4.0
@@ -198,7 +200,7 @@ def tiled(members: DataFrame, group: str, n: str, id: str, tile: int = TILE) ->
 
 
 def _similar(leaves: DataFrame, least: int) -> DataFrame:
-    boxes = tiled(leaves, "path", "n", "id").groupBy("path", "ta", "tb").agg(F.collect_list(F.struct("tile", "id", "sig")).alias("m"))  # two tiles at most
+    boxes = tiled(leaves, "path", "n", "id", SIGNATURES).groupBy("path", "ta", "tb").agg(F.collect_list(F.struct("tile", "id", "sig")).alias("m"))  # two tiles at most
 
     def compare(batches):
         for t in gathered(batches, 4 << 20):

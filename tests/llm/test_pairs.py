@@ -90,6 +90,7 @@ def near_texts(seed=7):
 
 def test_join_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 40)
+    monkeypatch.setattr(ngram_join, "SIGNATURES", 50)
     texts = near_texts()
     rows = list(enumerate(texts)) + [(1000, texts[0]), (1001, texts[0] + " \n"), (1002, None), (1003, ""), (1004, " \t"), (1005, "two words"), (1006, "two words"), (1007, "two  words x"), (5, texts[5]), (1008, "w " * 30000)]
     docs = spark.createDataFrame(rows + [(None, texts[0])], "doc_id long, text string").withColumns({"class": F.lit(1), "id": F.lit("x"), "group": F.lit(0), "n": F.lit(0), "key": F.lit("k")})
