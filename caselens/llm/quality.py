@@ -209,7 +209,8 @@ def with_score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     """
     ready(docs.sparkSession)
     score = ensemble_from(docs, labels, key, text, label, is_held_out(key, parts, part), sample).column()
-    return with_statistics(docs, text).select("row", score.alias("score"))
+    once = F.when(F.monotonically_increasing_id() >= 0, score)  # not deterministic: a filter on it is not rewritten over the statistics, once for each use
+    return with_statistics(docs, text).select("row", once.alias("score"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
