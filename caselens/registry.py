@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselens.config import Domain
 from caselens.functions import bayes, dates, stats, text
-from caselens.operators import cases, dimension, enrich, interactions, labels, literature, marts, pairs, subgroups, survey, trend
+from caselens.operators import cases, dimension, enrich, interactions, labels, literature, marts, pairs, subgroups, survey, trend, windowed
 from caselens.plans import domain, serving
 from caselens.plans.domain import LOOSE, r6, rounded, table
 from caselens.session import shared_dir, stored
-from caselens.sources import bronze, lake
+from caselens.sources import bronze, demo, lake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -772,3 +773,25 @@ def ingested_quarters(spark, d):
 def landscape_top(spark, d):
     s = domain.scores(spark, d).orderBy(F.desc("ror"), DRUG, EVENT).limit(20)
     return rounded(s.select(text.pair_label(F.col(DRUG), F.col(EVENT)).alias("label"), F.log10(F.greatest("ror", F.lit(0.01))).alias("log_ror"), "ror_ci_lower", "ror_ci_upper"))
+
+
+@query("""WITH o AS (SELECT o_orderkey::VARCHAR AS pid, o_orderpriority AS p FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'),
+cd AS (SELECT DISTINCT l_orderkey::VARCHAR AS pid, CASE p_brand WHEN 'Brand#1' THEN 'one' WHEN 'Brand#11' THEN 'one' ELSE 'two' END AS drug FROM lineitem JOIN part ON l_partkey = p_partkey JOIN o ON o.pid = l_orderkey::VARCHAR
+       WHERE p_brand IN ('Brand#1', 'Brand#11', 'Brand#2', 'Brand#22')),
+cr AS (SELECT DISTINCT l_orderkey::VARCHAR AS pid, n_name AS event FROM lineitem JOIN o ON o.pid = l_orderkey::VARCHAR JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+nn AS (SELECT count(*) AS n FROM o), dm AS (SELECT drug, count(*) AS dt FROM cd GROUP BY 1), em AS (SELECT event, count(*) AS et FROM cr GROUP BY 1),
+pc AS (SELECT drug, event, count(*) AS a, count(*) FILTER (p IN ('1-URGENT', '2-HIGH')) AS sa FROM cd JOIN cr ON cd.pid = cr.pid JOIN o ON o.pid = cd.pid GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY a DESC, event) AS rn FROM pc),
+tot AS (SELECT r.*, dt, et, n FROM ranked r JOIN dm ON dm.drug = r.drug JOIN em ON em.event = r.event, nn WHERE rn <= 10),""" + cells_sql("tot") + """
+SELECT drug AS drug_name_normalized, event AS adverse_event, DATE '1996-01-01' AS scoring_window_start, a::BIGINT AS a_drug_event, d::BIGINT AS d_other_drugs_other_events, sa::BIGINT AS serious_count, round(ror, 6) AS ror FROM st""")
+def windowed_matrix(spark, d):
+    names = Domain({"one": ("A", ("Brand#1", "Brand#11")), "two": ("B", ("Brand#2", "brand#22"))})
+    t = windowed.windowed_scores(domain.silver(spark, d), "1996-01-01", "1997-06-30", names, 10)
+    return rounded(t.select(DRUG, EVENT, "scoring_window_start", "a_drug_event", "d_other_drugs_other_events", "serious_count", "ror"))
+
+
+@query()
+def demo_matrix(spark, d):
+    """The matrix of made-up cases."""
+    t = cases.case_tables(demo.demo_silver(spark))
+    return rounded(pairs.score_pairs(pairs.pair_table(t), ebgm=False))

@@ -178,3 +178,21 @@ def test_strata(spark):
     t = spark.createDataFrame([("F", 17.5), ("M", 70.0), (None, None)], "sex string, age double")
     got = [[(x["subgroup_type"], x["subgroup"]) for x in r[0]] for r in t.select(subgroups.strata_of(F.col("sex"), F.col("age"))).collect()]
     assert got == [[("sex", "female")], [("sex", "male"), ("age", "65+")], []]
+
+
+def test_demo_cases_through_the_whole_pipeline(spark, tmp_path):
+    from caselens.sources.demo import demo_silver
+
+    s, gold = demo_silver(spark), Gold(spark, str(tmp_path))
+    build.build_gold(spark, s, gold)
+    texts = spark.createDataFrame([("metformin", "warnings", "Nausea and lactic acidosis")], "drug string, section string, text string")
+    articles = spark.createDataFrame([(str(i), "Metformin", "nausea: a case report", "J", 2023, None) for i in range(3)], "pmid string, title string, abstract string, journal string, publication_year int, mesh_terms array<string>")
+    people = spark.createDataFrame([("Metformin", "Biguanides", 960)], "medication_name_normalized string, drug_class string, unweighted_sample_count long")
+    before = gold.read("emerging_signals").count()
+    for _ in range(2):  # again changes nothing
+        written = build.enrich_gold(spark, s, gold, texts, articles, population=people, base_least=30)
+        got = gold.read("emerging_signals").orderBy("drug_name_normalized", "adverse_event").collect()
+        assert len(got) == before and {r["population_component"] for r in got if r["drug_name_normalized"] == "metformin"} == {1.0}
+        assert gold.read("signal_scores").filter("label_status = 'labeled'").count() == 2
+    assert {"drug_label_flags", "subgroup_signals", "interaction_signals", "pubmed_evidence", "pubmed_support_summary"} <= set(written)
+    assert gold.read("subgroup_signals").count() > 0 and gold.read("signal_scores_stats").first()["novel_total"] > 0

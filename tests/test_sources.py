@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from caselens.functions import dates, text
+from caselens.functions import clauses, dates, text
 from caselens.sources import bronze, lake
 from caselens.streaming import quarters
 
@@ -85,3 +85,14 @@ def test_stream_of_drops(spark, tmp_path):
     q = quarters.quarterly_counts(quarters.report_stream(spark, str(tmp_path / "in"), schema)).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["quarter"], r["reports"]) for r in spark.table("counts").collect()} == {("2023Q1", 1), ("2023Q2", 2)}
+
+
+def test_clauses(spark):
+    day, sex = clauses.Field("receivedate"), clauses.Field("sex")
+    assert day.span("2021-01-01", "20251231") == "receivedate:[20210101 TO 20251231]" and sex.code(clauses.SEXES["female"]) == "sex:2"
+    assert clauses.all_of(clauses.any_of(clauses.Field("d").term('a"b'), clauses.Field("d").term("c")), "x:1") == '(d:"A\\"B" OR d:"C") AND (x:1)'
+    q = clauses.mention_query(["metformin", "Glucophage"], "OEDEMA OF LEG VEINS", ["edema of leg veins"])
+    assert q.startswith('("metformin"[Title/Abstract] OR "Glucophage"[Title/Abstract]) AND ("OEDEMA OF LEG VEINS"[Title/Abstract] OR (OEDEMA[Title/Abstract] AND VEINS[Title/Abstract])')
+    t = spark.createDataFrame([("Ozempic", "2021-01-01", 17.0, "YR"), ("x", "2021-02-01", 17.0, "MON")], "n string, d string, a double, u string")
+    got = t.select(clauses.is_one_of(F.col("n"), ["OZEMPIC"]), clauses.within(F.to_date("d"), "2021-01-01", "2021-01-31"), clauses.aged(F.col("a"), F.col("u"), 0, 17)).collect()
+    assert [tuple(r) for r in got] == [(True, True, True), (False, False, False)]
