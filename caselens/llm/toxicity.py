@@ -40,6 +40,8 @@ FEATURES = 1_500
 LEAST_DOCUMENTS = 4
 #: A feature is looked at when positives hold it this many times as often as others.
 LEAST_RATIO = 8.0
+#: Features that positives hold less than this many times as often are not looked at at all.
+MOST_COMMON = 1.5
 #: Share of the positives that a feature must occur in, and newly cover; features for each.
 LEAST_SHARE = 0.005
 COVER = 3
@@ -268,13 +270,15 @@ def sample_for_fit(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     def held(batches):
         for t in gathered(batches):
             runs = Runs()
-            found = [x for text in t["text"].to_pylist() for x in runs.counts(text)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["feature"])
-
-    most = rows.filter("y = 1")
-    least = max(LEAST_DOCUMENTS, LEAST_SHARE * most.count())
-    common = most.select("text").mapInArrow(held, "feature long").groupBy("feature").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    wanted = {r[0]: r[0] for r in common.select("feature").collect()}  # each in at least LEAST_SHARE of the positives
+            found = [list(runs.counts(text)[1]) for text in t["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f], pa.int64()), pa.array(np.repeat(t["y"].to_numpy(), [len(f) for f in found]), pa.int32())], ["feature", "y"])
+
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    least, n_pos, n_unl = max(LEAST_DOCUMENTS, LEAST_SHARE * size.get(1, 0)), max(size.get(1, 0), 1), max(size.get(0, 0), 1)
+    common = rows.select("text", "y").mapInArrow(held, "feature long, y int").groupBy("feature").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("unl"))
+    clean = (F.col("unl") / n_unl - prior * F.col("pos") / n_pos) / (1 - prior)
+    common = common.filter((F.col("pos") >= least) & (F.col("pos") / n_pos >= MOST_COMMON * clean))
+    wanted = {r[0]: r[0] for r in common.select("feature").collect()}  # each in at least LEAST_SHARE of the positives, and rarer elsewhere
 
     def run(t: pa.Table) -> pa.Table:
         runs, out = Runs(wanted), ([], [], [])
