@@ -163,12 +163,15 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
 
 
-def shared_buckets(paths: DataFrame) -> DataFrame:
+def shared_buckets(paths: DataFrame, last: bool) -> DataFrame:
     """(path, id, n): the members of paths that two classes or more share. Of buckets with
-    the same members one is kept. Buckets are counted before members meet them."""
+    the same members one is kept where they are compared; those that still have to split all
+    stay, as each draws coordinates of its own, or none. Buckets are counted before members
+    meet them."""
     paths = stored(paths, "paths")
     sizes = paths.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).filter("n > 1")
-    kept = sizes.groupBy("members", "n").agg(F.min("path").alias("bucket")).select("bucket", "n")
+    splits = F.lit(None).cast("long") if last else F.when(F.col("n") > SMALL, F.col("path"))
+    kept = sizes.groupBy("members", "n", splits.alias("splits")).agg(F.min("path").alias("bucket")).select("bucket", "n")
     kept = stored(kept, "buckets")
     return stored(paths.join(kept, F.col("path") == F.col("bucket")).select("path", "id", "n"), "members")
 
@@ -179,8 +182,8 @@ def candidate_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     least = math.ceil(HASHES * (similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / HASHES)))
     found, paths = None, first_paths(classes, similarity)
     for level in range(1, DEPTH + 1):
-        members = shared_buckets(paths)
         last = level == DEPTH
+        members = shared_buckets(paths, last)
         leaves = members if last else members.filter(F.col("n") <= SMALL)
         pairs = stored(_similar(leaves.join(sig, F.col("id") == F.col("of")), least), "candidates")
         found = pairs if found is None else found.unionByName(pairs)

@@ -108,6 +108,16 @@ def test_join_by_brute_force(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({*smallest.values(), None})
 
 
+def test_large_groups_of_like_signatures_are_found(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 20)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    cores = [" ".join(word() for _ in range(400)) for _ in range(8)]
+    docs = spark.createDataFrame([(100 * g + k, f"{core} {k}") for g, core in enumerate(cores) for k in range(30)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.joined(docs).collect())
+    assert got == Counter((100 * g + k, 100 * g, 29) for g in range(8) for k in range(30))
+
+
 def test_intersections():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(30)]
