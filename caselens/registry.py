@@ -31,6 +31,16 @@ def query(sql: str | None = None):
     return add
 
 
+def whole_sql(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a query over part of a table, without the cuts: (what stands there, what
+    stands there instead). The query's own SQL stays as it is."""
+    sql = ORACLE_SQL[name]
+    for cut, instead in cuts:
+        assert cut in sql, cut
+        sql = sql.replace(cut, instead)
+    return sql
+
+
 # -- SQL that the oracles share ----------------------------------------------------------------
 
 CASES = """
@@ -545,6 +555,7 @@ fl AS (SELECT pr.drug, pr.event, best.section IS NOT NULL AS labeled, best.secti
 
 
 def _label_flags(spark, d):
+    """Events of a few English documents against English section texts, as LABELS says."""
     docs = table(spark, d, "documents")
     word = F.get(F.split("text", " "), F.lit(2))
     events = docs.filter((F.col("doc_id") % 29 == 3) & (F.col("lang") == "en") & word.rlike("^[a-zA-Z]+$")).select(F.lower(word).alias(EVENT)).distinct()
@@ -570,6 +581,33 @@ def label_flags_folded(spark, d):
     return labels.fold_flags(labels.fold_flags(s, flags), flags)
 
 
+#: What keeps LABELS to a few events, and to texts of one language.
+LABEL_CUTS = (("doc_id % 29 = 3 AND lang = 'en' AND ", ""), ("lang = 'en' AND source <> 'src3'", "source <> 'src3'"))
+
+
+def _label_flags_all(spark, d):
+    """Every event of all documents for every item: the result is their product."""
+    docs = table(spark, d, "documents")
+    word = F.get(F.split("text", " "), F.lit(2))
+    events = docs.filter(word.rlike(r"^[a-zA-Z]+\z")).select(F.lower(word).alias(EVENT)).distinct()
+    drugs = docs.select(F.col("source").alias(DRUG)).distinct()
+    section = F.get(F.array(F.lit("boxed_warning"), F.lit("warnings"), F.lit("adverse_reactions"), F.lit("other")), (F.col("doc_id") % 4).cast("int"))
+    texts = docs.filter("source <> 'src3'").select(F.col("source").alias("drug"), section.alias("section"), "text")
+    return labels.label_flags(drugs.crossJoin(events), texts)
+
+
+@query(whole_sql("label_match", *LABEL_CUTS))
+def label_match_all(spark, d):
+    return _label_flags_all(spark, d)
+
+
+@query(whole_sql("label_flags_folded", *LABEL_CUTS))
+def label_flags_folded_all(spark, d):
+    flags = stored(_label_flags_all(spark, d), "flags")
+    s = flags.select(DRUG, EVENT).unionByName(flags.select(F.lit("unlisted").alias(DRUG), EVENT).distinct())
+    return labels.fold_flags(labels.fold_flags(s, flags), flags)
+
+
 @query("""WITH c AS (SELECT source, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 7)::VARCHAR END AS code FROM documents)
   SELECT source AS analysis_key, max(code) AS rxcui FROM c WHERE code IS NOT NULL GROUP BY 1""")
 def rxcui_by_key(spark, d):

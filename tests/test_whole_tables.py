@@ -1,0 +1,14 @@
+"""Queries that take whole tables where the SQL of their namesakes takes a part."""
+
+from caselens import registry
+from tests.oracle import connection
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_labels_of_all_documents(spark):
+    docs = connection(SMALL).execute("select source, text from documents").fetchall()
+    third = [t.split(" ")[2] for _, t in docs if t and t.count(" ") > 1]
+    events = {w.lower() for w in third if w.isascii() and w.isalpha()}
+    got = {(r["drug_name_normalized"], r["adverse_event"]) for r in registry.QUERIES["label_match_all"](spark, SMALL).collect()}
+    assert got == {(s, e) for s, _ in docs for e in events} and len(events) > 50
