@@ -768,6 +768,22 @@ def ascii_ingest_roundtrip(spark, d):
     return t.select("primaryid", "caseid", "fda_date", "patient_sex", F.col("year").cast("int").alias("year"), "quarter")
 
 
+@query(whole_sql("ascii_ingest_roundtrip", (" WHERE year(o_orderdate) = 1996 AND quarter(o_orderdate) IN (1, 2)", " WHERE o_orderdate IS NOT NULL")))
+def ascii_ingest_roundtrip_all(spark, d):
+    """Orders of every quarter written as delimited extracts, with a header that differs by
+    quarter, read again as silver."""
+    root = f"{shared_dir(spark)}/bronze-{spark.range(1).selectExpr('uuid() as u').first()['u']}"
+    o = table(spark, d, "orders").withColumns({"y": F.year("o_orderdate"), "q": F.quarter("o_orderdate")})
+    for r in o.filter("y is not null").select("y", "q").distinct().collect():  # quarters: few
+        sex = "sex" if r["q"] == 1 else "GNDR_COD"
+        t = o.filter((F.col("y") == r["y"]) & (F.col("q") == r["q"])).select(F.col("o_orderkey").alias("primaryid"), F.col("o_custkey").alias("caseid"), F.date_format("o_orderdate", "yyyyMMdd").alias("fda_dt"), F.when(F.col("o_orderkey") % 2 == 0, "F").otherwise("M").alias(sex))
+        t.write.option("sep", "$").option("header", True).csv(f"{root}/year={r['y']}/quarter=Q{r['q']}/ascii/DEMO.txt")
+    silver = bronze.silver_table(spark, root, "reports", bronze.discover_quarters(spark, root))
+    lake.write_silver(silver, f"{root}/silver/reports")
+    t = lake.read_table(spark, f"{root}/silver/reports")
+    return t.select("primaryid", "caseid", "fda_date", "patient_sex", F.col("year").cast("int").alias("year"), "quarter")
+
+
 @query("""WITH e AS (SELECT user_id || '-' || ts::DATE AS pid, event_type AS event, 'k' || (json_extract_string(props, '$.k')::BIGINT % 10) AS drug FROM events),
 cd AS (SELECT DISTINCT pid, drug FROM e WHERE drug IS NOT NULL), cr AS (SELECT DISTINCT pid, event FROM e),
 nn AS (SELECT count(DISTINCT pid) AS n FROM e), dm AS (SELECT drug, count(*) AS dt FROM cd GROUP BY 1), em AS (SELECT event, count(*) AS et FROM cr GROUP BY 1),

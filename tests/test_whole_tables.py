@@ -12,3 +12,9 @@ def test_labels_of_all_documents(spark):
     events = {w.lower() for w in third if w.isascii() and w.isalpha()}
     got = {(r["drug_name_normalized"], r["adverse_event"]) for r in registry.QUERIES["label_match_all"](spark, SMALL).collect()}
     assert got == {(s, e) for s, _ in docs for e in events} and len(events) > 50
+
+
+def test_ingest_of_every_quarter(spark):
+    want = connection(SMALL).execute("select count(*), count(distinct (year(o_orderdate), quarter(o_orderdate))) from orders").fetchone()
+    got = registry.QUERIES["ascii_ingest_roundtrip_all"](spark, SMALL)
+    assert (got.count(), got.select("year", "quarter").distinct().count()) == want and want[1] > 20
