@@ -649,6 +649,33 @@ def evidence_by_year(spark, d):
     return literature.by_year(_evidence(spark, d))
 
 
+#: What keeps ARTICLES to one language, and their titles to a prefix.
+ARTICLE_CUTS = (("substr(text, 1, 80) AS title", "split_part(text, chr(10), 1) AS title"), (" FROM documents WHERE lang = 'en'", " FROM documents"))
+
+
+def _evidence_all(spark, d):
+    """All documents as articles; a title is a text's first line."""
+    docs = table(spark, d, "documents")
+    articles = docs.select(F.col("doc_id").alias("pmid"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("journal"), (2015 + F.col("doc_id") % 10).cast("int").alias("publication_year"))
+    p = spark.createDataFrame([("token", "thing"), ("the", "and"), ("license", "version disorder"), ("idiot", "ing")], f"{DRUG} string, {EVENT} string")
+    return literature.evidence(p, articles)
+
+
+@query(whole_sql("article_relevance", *ARTICLE_CUTS))
+def article_relevance_all(spark, d):
+    return rounded(_evidence_all(spark, d).select(DRUG, EVENT, "pmid", "relevance_score", "mentions_drug", "mentions_event", "adverse_context"))
+
+
+@query(whole_sql("literature_support", *ARTICLE_CUTS))
+def literature_support_all(spark, d):
+    return rounded(literature.support_summary(_evidence_all(spark, d)))
+
+
+@query(whole_sql("evidence_by_year", *ARTICLE_CUTS))
+def evidence_by_year_all(spark, d):
+    return literature.by_year(_evidence_all(spark, d))
+
+
 # -- survey -------------------------------------------------------------------------------------------
 
 SURVEY = """

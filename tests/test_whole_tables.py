@@ -18,3 +18,10 @@ def test_ingest_of_every_quarter(spark):
     want = connection(SMALL).execute("select count(*), count(distinct (year(o_orderdate), quarter(o_orderdate))) from orders").fetchone()
     got = registry.QUERIES["ascii_ingest_roundtrip_all"](spark, SMALL)
     assert (got.count(), got.select("year", "quarter").distinct().count()) == want and want[1] > 20
+
+
+def test_articles_of_all_languages(spark):
+    docs = connection(SMALL).execute("select doc_id, lang, lower(text) from documents").fetchall()
+    want = {i: lang for i, lang, x in docs if x and "the" in x and "and" in x}
+    got = registry.QUERIES["article_relevance_all"](spark, SMALL).filter("drug_name_normalized = 'the'")
+    assert {r["pmid"] for r in got.collect()} == set(want) and set(want.values()) > {"en"}
