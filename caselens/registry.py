@@ -741,6 +741,13 @@ def union_missing_columns(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query(whole_sql("union_missing_columns", (" WHERE o_orderkey % 2 = 0", "")))
+def union_missing_columns_all(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
 @query(f"""WITH {EMERGING}, u AS (
   (SELECT drug_name_normalized AS d, adverse_event AS e, 0 AS source FROM emerging ORDER BY round(score, 4) DESC, 1, 2 LIMIT 10)
   UNION ALL (SELECT drug_name_normalized, adverse_event, 1 FROM scored WHERE disproportionality_flag AND a_drug_event >= 10 ORDER BY ror DESC, 1, 2 LIMIT 10))

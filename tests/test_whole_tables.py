@@ -25,3 +25,8 @@ def test_articles_of_all_languages(spark):
     want = {i: lang for i, lang, x in docs if x and "the" in x and "and" in x}
     got = registry.QUERIES["article_relevance_all"](spark, SMALL).filter("drug_name_normalized = 'the'")
     assert {r["pmid"] for r in got.collect()} == set(want) and set(want.values()) > {"en"}
+
+
+def test_union_of_whole_tables(spark):
+    want = connection(SMALL).execute("select (select count(*) from orders) + (select count(*) from customer)").fetchone()[0]
+    assert registry.QUERIES["union_missing_columns_all"](spark, SMALL).count() == want
