@@ -364,14 +364,20 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without those that are near-copies of a document with a smaller doc_id: one row of
-    each class stays, of repeated rows with that key too. Rows with a null key stay."""
-    own = joined(docs, similarity=similarity)
-    gone = own.filter("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    again = own.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    each class stays, of repeated rows too. Rows with a null key stay. Texts of one doc_id
+    that differ count as documents of their own."""
+    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
-        return kept
-    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+        gone = joined(docs, similarity=similarity).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone"))
+        return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    marked = docs.withColumn("_mark", F.coalesce(F.md5("text"), F.lit("")))
+    keys = marked.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_of")).distinct().orderBy("_id", "_of")
+    keys = stored(keys.withColumn("_key", F.monotonically_increasing_id()), "keys")  # in the order of doc_id
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_mark") == F.col("_of"))
+    texts = stored(marked.join(keys, same).select("_key", "text"), "texts")
+    gone = joined(texts, "_key", similarity=similarity).filter("_key <> class_id").select("_key").distinct()
+    kept = marked.join(keys.join(gone, "_key", "left_semi"), same, "left_anti")
+    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id", "_mark"])).select(*docs.columns)
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -118,6 +118,14 @@ def test_large_groups_of_like_signatures_are_found(spark, monkeypatch):
     assert got == Counter((100 * g + k, 100 * g, 29) for g in range(8) for k in range(30))
 
 
+def test_other_texts_of_a_repeated_key_stay(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, d), (3, d), (4, a), (None, a), (None, a), (5, None), (5, "")]
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (2, b), (3, c), (3, d), (None, a), (None, a), (5, None), (5, "")])
+
+
 def test_intersections():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(30)]
