@@ -6,12 +6,15 @@ whatever the input, comes to the driver. There:
 1. large lengths are sorted and dealt into groups of equal cardinality; each group's lengths
    are rounded up to its longest;
 2. configurations of the few rounded sizes are optimised as a linear program by column
-   generation (a knapsack prices new configurations), and rounded down; what that leaves
-   goes best-fit;
-3. actual lengths are substituted for the rounded ones, longest first, which opens slack;
-4. small lengths go best-fit into the slack and then into new sequences;
-5. sequences that still have slack are taken apart and their lengths go best-fit again,
-   which is kept where it needs fewer sequences.
+   generation (a knapsack prices new configurations). The small lengths take part as one
+   more row, their volume: a configuration's room counts for as much of it as the lengths
+   that fit into that room hold, so that configurations leave no room, or room of use;
+3. the program's whole part is taken, and actual lengths are substituted for the rounded
+   ones, longest first; the slack that opens lets later slots take longer ones. The tightest
+   configurations are accepted; the other documents are grouped anew and solved again, until
+   no whole configuration comes out;
+4. what is left then goes best-fit into the slack or into new sequences, and after it the
+   small lengths, longest first.
 
 The plan names, for each length, which ranks of that length go where. Documents get a rank
 within their length and find their place by binary search in the plan, in parallel.
@@ -37,12 +40,13 @@ from caselens.llm.common import each_table, ready, table_columns
 from caselens.session import stored
 
 CAPACITY = 2048
-#: Groups of the linear grouping, and the share of the capacity from which a length is large.
-GROUPS = 64
-LARGE = 2 / 5
-#: Room beyond which sequences are taken apart in the last step; each is tried, and -1 takes
-#: apart all, so a plan is never worse than best-fit alone.
-TAKE_APART = (-1, 0, 1, 2, 4, 8, 16, 32)
+#: Linear groupings that are tried: the share of the capacity from which a length is large,
+#: and the number of groups. A low share suits data with few small lengths.
+SCHEMES = ((2 / 5, 64), (1 / 8, 32))
+#: Groups times capacity up to which more groups cost nothing worth speaking of.
+WORK = 1 << 16
+#: Waste up to which configurations are accepted, by round; then any.
+WASTE = (0, 1, 2, 4, 8, 16, 32)
 #: Pieces of one length that are ranked in one task.
 RANKED = 20_000
 #: Distinct pieces of text that a worker remembers.
@@ -131,9 +135,11 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str | Column = "text", pa
 # -- the plan, on the driver, from the histogram alone ---------------------------------------
 
 
-def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """The multiset of sizes within the capacity that is worth most, as counts."""
-    worth = np.zeros(capacity + 1)
+def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int, room_worth: np.ndarray) -> tuple[float, list[int], int]:
+    """(worth, counts, room) of the multiset of sizes within the capacity that is worth most
+    together with the room it leaves; room_worth: by room."""
+    worth = np.full(capacity + 1, -np.inf)  # of sizes that sum up to exactly so much
+    worth[0] = 0
     took = []
     for s, v in zip(sizes.tolist(), values.tolist()):
         for _ in range(capacity // s if v > 1e-12 else 0):
@@ -145,28 +151,41 @@ def best_configuration(sizes: np.ndarray, values: np.ndarray, capacity: int) ->
             mask[s:] = better
             worth[s:][better] = other[better]
             took.append((s, mask))
-    at = int(np.argmax(worth))
-    total, counts, places = float(worth[at]), [0] * len(sizes), {int(s): i for i, s in enumerate(sizes)}
+    whole = worth + room_worth[::-1]
+    at = int(np.argmax(whole))
+    total, room, counts, places = float(whole[at]), capacity - at, [0] * len(sizes), {int(s): i for i, s in enumerate(sizes)}
     for s, mask in reversed(took):
         if mask[at]:
             counts[places[s]] += 1
             at -= s
-    return total, counts
+    return total, counts, room
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[int, list[int]]]:
-    """(times, counts of each size): the linear program of few-size configurations, solved
-    by column generation with a revised simplex, rounded down."""
+def useful_room(small: list[tuple[int, int]], capacity: int) -> np.ndarray:
+    """By room, how much of it small lengths can be taken to fill: the room times their
+    volume's share that fits into it."""
+    volume = np.zeros(capacity + 1)
+    for length, n in small:
+        volume[length] += length * n
+    share = np.cumsum(volume) / volume.sum() if volume.any() else volume
+    return share * np.arange(capacity + 1)
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, small: float = 0.0, useful: np.ndarray | None = None, rounds: int = 3000) -> list[tuple[int, list[int], float]]:
+    """(times, counts of each size, volume left for small lengths): the linear program that
+    covers the sizes' demand and the small volume by the fewest sequences, solved by column
+    generation with a revised simplex; its whole part."""
+    useful = np.zeros(capacity + 1) if useful is None else useful
     k = len(sizes)
-    basis = np.diag(capacity // sizes).astype(float)  # columns: one size alone
+    basis = np.diag(np.append(capacity // sizes, capacity)).astype(float)  # columns: one size alone, and small lengths alone
     inverse = np.linalg.inv(basis)
-    x = inverse @ demand
+    x = inverse @ np.append(demand, small)
     for step in range(rounds):
-        prices = inverse.sum(axis=0)  # every configuration costs one sequence
-        worth, counts = best_configuration(sizes, np.maximum(prices, 0), capacity)
+        prices = np.maximum(inverse.sum(axis=0), 0)  # every configuration costs one sequence
+        worth, counts, room = best_configuration(sizes, prices[:k], capacity, prices[k] * useful)
         if worth <= 1 + 1e-7:
             break
-        column = np.array(counts, dtype=float)
+        column = np.array([*counts, useful[room] if prices[k] > 0 else 0.0])
         direction = inverse @ column
         up = direction > 1e-9
         if not up.any():
@@ -183,7 +202,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
             row = inverse[out] / direction[out]
             inverse = inverse - np.outer(direction, row)
             inverse[out] = row
-    return [(int(n + 1e-6), basis[:, i].astype(int).tolist()) for i, n in enumerate(x) if n + 1e-6 >= 1]
+    return [(int(n + 1e-6), basis[:k, i].astype(int).tolist(), float(basis[k, i])) for i, n in enumerate(x) if n + 1e-6 >= 1 and basis[:k, i].any()]
 
 
 class Slack:
@@ -244,71 +263,105 @@ def grouped(counts: list[tuple[int, int]], groups: int) -> list[list[tuple[int,
     return [x for x in out if x]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> list[tuple[int, tuple[int, ...]]]:
-    """(times, lengths) of the sequences that hold exactly what the histogram counts."""
+class Lengths:
+    """Counts of lengths, found by the longest that is not over a limit."""
+
+    def __init__(self, counts: Counter):
+        self.counts, self.lengths = counts, sorted(counts)
+
+    def take(self, limit: int, most: int) -> tuple[int, int]:
+        """(length, how many of it are taken): of the longest length up to the limit; (0, 0)
+        where there is none."""
+        at = bisect.bisect_right(self.lengths, limit) - 1
+        if at < 0:
+            return 0, 0
+        length = self.lengths[at]
+        n = min(most, self.counts[length])
+        self.counts[length] -= n
+        if not self.counts[length]:
+            del self.counts[length]
+            self.lengths.pop(at)
+        return length, n
+
+
+def configured(left: Counter, volume: float, useful: np.ndarray, capacity: int, groups: int) -> list[tuple[int, tuple[int, ...], int, float]]:
+    """(times, lengths, waste, volume) of whole configurations of the large lengths; `left`
+    keeps the others. waste: room beyond what the configuration leaves for small lengths;
+    volume: how much of the small lengths' volume it leaves room for.
+
+    A slot of a configuration takes the longest length that is left and leaves enough for the
+    slots after it, as rounded, and for the small ones: what rounding opens goes to longer
+    documents than planned, so that what is left only becomes easier to place.
+    """
+    merged = Counter()
+    for group in grouped(sorted(left.items(), reverse=True), groups):  # groups with the same longest length are one size
+        merged[group[0][0]] += sum(n for _, n in group)
+    sizes = sorted(merged)
+    made = configurations(np.array(sizes), np.array([merged[s] for s in sizes], dtype=float), capacity, volume, useful)
+    slots = [([s for s, n in zip(reversed(sizes), reversed(config)) for _ in range(n)], times, v) for times, config, v in made]
+    out, lengths = [], Lengths(left)
+    for planned, times, v in sorted(slots, reverse=True):
+        alike = [(times, (), 0 if v else capacity - sum(planned))]  # all room is for small lengths, or none of it
+        for size in planned:
+            parts = []
+            for m, held, spare in alike:
+                while m:
+                    length, n = lengths.take(size + spare, m)
+                    if not n:
+                        parts.append((m, held, spare + size))
+                        break
+                    parts.append((n, (*held, length), spare + size - length))
+                    m -= n
+            alike = parts
+        out += [(m, held, spare, v) for m, held, spare in alike if held]
+    return out
+
+
+def grouping(histogram: dict[int, int], capacity: int, groups: int, large: float) -> tuple[list[tuple[int, tuple[int, ...]]], Counter]:
+    """(times, lengths) of the configurations that the linear grouping of the lengths over
+    large x capacity comes to, and what it leaves of these lengths.
+
+    Rounds accept configurations of ever more waste, the tightest first; documents of the
+    others are grouped and solved again.
+    """
+    small = [(length, n) for length, n in histogram.items() if length <= large * capacity and length < capacity]
+    left = Counter({length: n for length, n in histogram.items() if large * capacity < length < capacity and n > 0})
+    volume, useful = float(sum(length * n for length, n in small)), useful_room(small, capacity)
+    groups = max(groups, WORK // capacity)
+    out = []
+    for most in (*WASTE, capacity):
+        while left:
+            made = configured(left, volume, useful, capacity, groups)
+            good = [x for x in made if x[2] <= most]
+            for times, held, waste, _ in made:
+                for length in held if waste > most else ():
+                    left[length] += times
+            out += [(times, held) for times, held, _, _ in good]
+            volume = max(volume - sum(times * v for times, _, _, v in good), 0.0)
+            if most < capacity or not good:
+                break
+    return out, left
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, schemes: tuple[tuple[float, int], ...] = SCHEMES) -> list[tuple[int, tuple[int, ...]]]:
+    """(times, lengths) of the sequences that hold exactly what the histogram counts: the
+    scheme of fewest sequences, the first of equal ones. Each scheme, a least share of the
+    capacity and a number of groups, is a whole linear grouping."""
     if any(n > 0 and not 1 <= length <= capacity for length, n in histogram.items()):
         raise ValueError("lengths must be between 1 and the capacity")
-    slack = Slack(capacity)
-    items = sorted(((length, n) for length, n in histogram.items() if n > 0), reverse=True)
-    slack.add(dict(items).get(capacity, 0), (capacity,))
-    big = [(length, n) for length, n in items if large * capacity < length < capacity]
-    dealt = grouped(big, groups) if big else []
-    merged: dict[int, list[tuple[int, int]]] = {}
-    for group in dealt:  # groups with the same longest length are one size
-        merged.setdefault(group[0][0], []).extend(group)
-    if merged:
-        sizes = np.array(sorted(merged))
-        demand = np.array([sum(n for _, n in merged[s]) for s in sizes.tolist()], dtype=float)
-        left = {s: list(merged[s]) for s in sizes.tolist()}  # longest first
-        for times, config in configurations(sizes, demand, capacity):
-            open_parts = [(times, ())]
-            for s, each in zip(sizes.tolist(), config):
-                for _ in range(each):
-                    parts, queue = [], left[s]
-                    for m, lengths in open_parts:  # actual lengths for rounded ones
-                        while m and queue:
-                            length, n = queue[0]
-                            take = min(m, n)
-                            parts.append((take, (*lengths, length)))
-                            m -= take
-                            if take == n:
-                                queue.pop(0)
-                            else:
-                                queue[0] = (length, n - take)
-                        if m:
-                            parts.append((m, lengths))
-                    open_parts = parts
-            for m, lengths in open_parts:
-                if lengths:
-                    slack.add(m, lengths)
-        rest = Counter()
-        for queue in left.values():
-            for length, n in queue:
-                rest[length] += n
-        for length, n in sorted(rest.items(), reverse=True):
-            slack.best_fit(length, n)
-    for length, n in items:
-        if length <= large * capacity:
-            slack.best_fit(length, n)
-    return taken_apart(slack.all(), capacity)
-
-
-def taken_apart(sequences: list[tuple[int, tuple[int, ...]]], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The fewest sequences among the given ones and those after a new best-fit of all with
-    more room than each of TAKE_APART."""
-    best = sequences
-    for room in TAKE_APART:
-        slack, loose = Slack(capacity), Counter()
-        for times, lengths in sequences:
-            if capacity - sum(lengths) <= room:
-                slack.add(times, lengths)
-            else:
-                for length in lengths:
-                    loose[length] += times
-        for length, n in sorted(loose.items(), reverse=True):
+    best = None
+    for large, groups in schemes:
+        made, left = grouping(histogram, capacity, groups, large)
+        slack = Slack(capacity)
+        slack.add(histogram.get(capacity, 0), (capacity,))
+        for times, lengths in made:
+            slack.add(times, lengths)
+        left += Counter({length: n for length, n in histogram.items() if length <= large * capacity and length < capacity and n > 0})
+        for length, n in sorted(left.items(), reverse=True):
             slack.best_fit(length, n)
-        if sum(n for n, _ in slack.all()) < sum(n for n, _ in best):
-            best = slack.all()
+        found = slack.all()
+        if best is None or sum(n for n, _ in found) < sum(n for n, _ in best):
+            best = found
     return best
 
 
@@ -329,32 +382,34 @@ def places(sequences: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
 # -- the operator ----------------------------------------------------------------------------
 
 
-def ranked(items: DataFrame, length: str, order: list[str], most: int) -> DataFrame:
+def ranked(items: DataFrame, length: str, lot: str, most: int) -> DataFrame:
     """items with `rank`, 0.. within each length. A length's items are dealt over many
-    buckets; buckets are counted, and each item ranked in its bucket alone."""
+    buckets by their lot, which no two rows share; buckets are counted, and each item ranked
+    in its bucket alone."""
     buckets = max(64, -(-most // RANKED))
-    dealt = items.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = items.withColumn("bucket", F.pmod(F.xxhash64(lot), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy(F.col(length).alias("of"), F.col("bucket").alias("in")).agg(F.count("*").alias("n"))
     before = sizes.select("of", "in", (F.sum("n").over(Window.partitionBy("of").orderBy("in")) - F.col("n")).alias("before"))
-    within = dealt.withColumn("within", F.row_number().over(Window.partitionBy(length, "bucket").orderBy(*order)) - 1)
+    within = dealt.withColumn("within", F.row_number().over(Window.partitionBy(length, "bucket").orderBy(lot)) - 1)
     joined = within.join(before, (within[length] == before["of"]) & (within["bucket"] == before["in"]))
-    return joined.withColumn("rank", F.col("before") + F.col("within")).drop("of", "in", "before", "within", "bucket")
+    return joined.withColumn("rank", F.col("before") + F.col("within")).drop("of", "in", "before", "within", "bucket", lot)
 
 
-def pack(items: DataFrame, order: list[str], length: str = "length", capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> DataFrame:
+def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """items with sequence_id and offset, gapless from 0 in each sequence.
 
-    items: a written table (it is read twice); order: columns that tell its rows apart.
-    Rows alike in those columns still get places of their own. Null lengths or lengths
-    outside 1..capacity raise an error; an empty table gives no rows.
+    Rows that are alike get places of their own, and however many there are, they are ranked
+    in many tasks. Null lengths or lengths outside 1..capacity raise an error; an empty table
+    gives no rows.
     """
     spark = ready(items.sparkSession)
+    items = stored(items.withColumn("_lot", F.monotonically_increasing_id()), "items")
     counts = {r[0]: r[1] for r in items.groupBy(length).agg(F.count("*")).collect()}  # at most `capacity` rows
     if None in counts:
         raise ValueError("a length is null")
-    table = spark.sparkContext.broadcast(places(plan(counts, capacity, groups, large)))  # grows with the capacity, not with the rows
-    ranks = ranked(items, length, order, max(counts.values(), default=0))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+    table = spark.sparkContext.broadcast(places(plan(counts, capacity)))  # grows with the capacity, not with the rows
+    ranks = ranked(items, length, "_lot", max(counts.values(), default=0))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name != "_lot")
 
     def run(t: pa.Table) -> pa.Table:
         rows = table.value
@@ -366,8 +421,11 @@ def pack(items: DataFrame, order: list[str], length: str = "length", capacity: i
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    parts = pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(stored(parts, "pieces"), ["doc_id", "piece", "ids_crc32"])
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every document's pieces
+    with their places. Null and empty texts are one piece of the end id alone; rows with a
+    null doc_id and repeated rows are packed each; an empty table gives no rows; other
+    columns of docs don't matter. Texts of any length are encoded whole."""
+    return pack(pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
