@@ -2,8 +2,9 @@
 
 Each text's statistics come from array functions over its own row: no text is shuffled. Rule
 failures are counted by host, the hosts' failure rates are shrunk towards an empirical beta
-prior (moments over all hosts), and a host whose shrunken rate is too high fails all of its
-documents. Verdicts go back to documents by a join whose hot hosts are salted.
+prior (moments over all hosts), and a host fails with all of its documents when its posterior
+says for sure that its documents fail far more often than the corpus's. Verdicts go back to
+documents by a join whose hot hosts are salted.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ WINDOW = 5
 #: Fixed limits of the base rules.
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
-#: A host fails when its shrunken failure rate is over this share of its documents.
-HOST_LIMIT = 0.5
+#: A host fails when the lower end of its posterior failure rate, so many standard deviations
+#: below the mean, has more than so many times the odds of the prior's mean.
+HOST_DEVIATIONS = 2.0
+HOST_ODDS = 4.0
 #: Parts that each host's documents are dealt into, for counting and for the join.
 SALTS = 64
 
@@ -62,37 +65,44 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
 
-def host_verdicts(counts: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(counts: DataFrame, host: str, odds: float = HOST_ODDS) -> DataFrame:
     """(host, n, failed, rate, host_failed) from (host, n, failed).
 
-    The prior is a beta distribution with the mean and variance of the hosts' failure rates;
-    rate = (failed + a) / (n + a + b). Where the moments give no beta (one host, or rates
-    all alike) the prior weighs as one document.
+    The prior is a beta distribution with the mean of the hosts' failure rates and the
+    variance that is left of theirs without what chance alone gives hosts of their sizes.
+    The posterior's mean is rate = (failed + a) / (n + a + b). Where no variance is left (one
+    host, or rates as much alike as chance makes them) the prior weighs as much as a host has
+    documents on average. No failures at all: no host fails.
     """
-    moments = counts.agg(F.avg(F.col("failed") / F.col("n")).alias("m"), F.coalesce(F.var_samp(F.col("failed") / F.col("n")), F.lit(0.0)).alias("s"))
-    weight = F.when((F.col("s") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("s")), F.try_divide(F.col("m") * (1 - F.col("m")), F.col("s")) - 1).otherwise(1.0)
-    prior = moments.select((F.col("m") * weight).alias("a"), weight.alias("weight"))
-    rate = (F.col("failed") + F.col("a")) / (F.col("n") + F.col("weight"))
-    return counts.crossJoin(F.broadcast(prior)).select(host, "n", "failed", rate.alias("rate"), (rate > limit).alias("host_failed"))  # the prior is one row
+    each = F.col("failed") / F.col("n")
+    moments = counts.agg(F.avg(each).alias("m"), F.coalesce(F.var_samp(each), F.lit(0.0)).alias("v"), F.avg(1 / F.col("n")).alias("chance"), F.avg("n").alias("size"))
+    moments = moments.withColumn("s", F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("chance"))
+    weight = F.when((F.col("s") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("s")), F.try_divide(F.col("m") * (1 - F.col("m")), F.col("s")) - 1).otherwise(F.col("size"))
+    prior = moments.select("m", weight.alias("weight"))
+    t = counts.crossJoin(F.broadcast(prior)).withColumn("rate", (F.col("failed") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight")))  # the prior is one row
+    low = F.greatest(F.lit(0.0), F.col("rate") - HOST_DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("weight") + 1)))
+    return t.withColumn("low", low).select(host, "n", "failed", "rate", (F.col("low") * (1 - F.col("m")) > odds * F.col("m") * (1 - F.col("low"))).alias("host_failed"))
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rules' statistics with base_failed, the host's rate, host_failed and kept.
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", odds: float = HOST_ODDS) -> DataFrame:
+    """The rules' statistics with base_failed, the host's documents, shrunken rate and
+    verdict (host_n, host_rate, host_failed), and kept.
 
     kept: neither the document's base rules nor its host fails. Documents with a null host
-    count as one host of their own. An empty table gives no rows.
+    count as one host of their own; repeated rows count each. An empty table gives no rows.
     """
     t = text_rules(docs, key, text, host).withColumn("base_failed", base_failed())
-    t = stored(t.withColumn("salt", F.pmod(F.xxhash64(key, "word_chars"), F.lit(SALTS)).cast("int")), "rules")
+    t = stored(t.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "rules")
     parts = t.groupBy(F.col(host).alias("of"), "salt").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
     counts = parts.groupBy("of").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"))
-    verdicts = host_verdicts(counts, "of", limit).select("of", "rate", "host_failed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salted"))
+    verdicts = host_verdicts(counts, "of", odds).select("of", F.col("n").alias("host_n"), F.col("rate").alias("host_rate"), "host_failed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salted"))
     joined = t.join(verdicts, t[host].eqNullSafe(verdicts["of"]) & (t["salt"] == verdicts["salted"]))
-    return joined.select(key, host, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rate").alias("host_rate"), "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
+    return joined.select(key, host, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_n", "host_rate", "host_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    t = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_n", F.round("host_rate", 6).alias("host_rate"), "host_failed", "kept")
 
 
 OP2_SQL = r"""
@@ -124,12 +134,15 @@ rules AS (
 hosts AS (
   SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM rules GROUP BY source),
 moments AS (
-  SELECT avg(failed / n) AS m, coalesce(var_samp(failed / n), 0) AS s FROM hosts),
+  SELECT avg(failed / n) AS m, coalesce(var_samp(failed / n), 0) AS v, avg(1 / n) AS chance, avg(n) AS size FROM hosts),
 prior AS (
-  SELECT m, CASE WHEN s > 0 AND m * (1 - m) > s THEN m * (1 - m) / s - 1 ELSE 1.0 END AS weight FROM moments),
+  SELECT m, CASE WHEN v - m * (1 - m) * chance > 0 AND m * (1 - m) > v - m * (1 - m) * chance
+                 THEN m * (1 - m) / (v - m * (1 - m) * chance) - 1 ELSE size END AS weight FROM moments),
+rates AS (
+  SELECT source, n, m, weight, (failed + m * weight) / (n + weight) AS rate FROM hosts, prior),
 verdicts AS (
-  SELECT source, (failed + m * weight) / (n + weight) > 0.5 AS host_failed FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT host_failed AS kept
+  SELECT source, n, rate, m, greatest(0.0::DOUBLE, rate - 2 * sqrt(rate * (1 - rate) / (n + weight + 1))) AS low FROM rates)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n::BIGINT AS host_n, round(rate, 6) AS host_rate,
+       low * (1 - m) > 4 * m * (1 - low) AS host_failed, NOT base_failed AND NOT (low * (1 - m) > 4 * m * (1 - low)) AS kept
 FROM rules r JOIN verdicts v ON r.source IS NOT DISTINCT FROM v.source
 """

@@ -3,7 +3,7 @@
 Base kinds are patterns. A further kind, `key`, is any long mixed run of key characters; such
 a run alone proves nothing, so its value is looked up over the whole corpus: values that many
 owners or repositories hold are copied examples, and only values of few owners are reported.
-Every candidate, base ones too, carries that verdict.
+Every reported span, base ones too, carries its value's owners and that verdict.
 
 Where text stands comes from two passes of a pattern that agree: what it matches, and what
 lies between. Only texts in which the pattern occurs pay for them.
@@ -32,7 +32,7 @@ LEAST_ASSIGNED = 12
 MOST_OWNERS = 3
 MOST_REPOSITORIES = 6
 #: Parts that the candidates of one value are dealt into.
-SALTS = 64
+SALTS = 16
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:bigint>>"
 
@@ -79,42 +79,48 @@ def found_spans(docs: DataFrame, text: str) -> DataFrame:
     return t.withColumn("spans", F.sort_array(F.concat("_base", free))).drop("_base", *(f"_{k}" for k in PATTERNS))
 
 
-def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str | Column = "source", repository: str | Column | None = None) -> DataFrame:
-    """(key, spans): spans are (start, end, kind, value, live).
+def _repository(owner: Column) -> Column:
+    return F.concat_ws("/", owner, F.col("lang"))
+
 
-    live: the value is held by no more than MOST_OWNERS owners and MOST_REPOSITORIES
-    repositories in the whole corpus. Base kinds are reported either way, `key` spans only
-    when live. A null text has no spans; a null owner counts as one owner; repeated rows
-    come back each; an empty table gives no rows. A repository is by default the owner and
-    language of a document.
+def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str | Column = "source", repository: str | Column | None = None) -> DataFrame:
+    """(key, spans): spans are (start, end, kind, value, owners, repositories, live), by start
+    and then kind.
+
+    owners, repositories: how many of each hold the value in the whole corpus; live: no more
+    than MOST_OWNERS and MOST_REPOSITORIES. Base kinds are reported either way, `key` spans
+    only when live. A null text has no spans; a null owner counts as one owner; repeated rows
+    come back each, null keys too; an empty table gives no rows. A repository is by default
+    the owner and language of a document.
     """
     ready(docs.sparkSession)
     owner = F.col(owner) if isinstance(owner, str) else owner
-    repository = F.concat_ws("/", owner, F.col("lang")) if repository is None else F.col(repository) if isinstance(repository, str) else repository
+    repository = _repository(owner) if repository is None else F.col(repository) if isinstance(repository, str) else repository
     slim = table_columns(docs, {"key": F.col(key), "text": F.coalesce(F.col(text), F.lit("")), "owner": F.coalesce(owner.cast("string"), F.lit("")), "repository": F.coalesce(repository.cast("string"), F.lit(""))})
-    found = stored(found_spans(slim, "text").drop("text"), "spans")
-    both = _with_examples(found, _examples(found))
+    found = stored(found_spans(slim, "text").drop("text").withColumn("row_no", F.monotonically_increasing_id()), "spans")
+    both = found.join(_ownership(found), "row_no", "left")
     return both.select(F.col("key").alias(key), _reported().alias("spans"))
 
 
-def _examples(found: DataFrame) -> DataFrame:
-    """(of, examples): the copied values among each key's candidates. Counts go by value,
-    owner and repository first; only copied values, of which there are far fewer than
-    candidates, meet the candidates again, dealt into parts."""
-    each = found.filter(F.size("spans") > 0).select("key", "owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    held = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    copied = held.filter((F.col("owners") > MOST_OWNERS) | (F.col("repositories") > MOST_REPOSITORIES)).select(F.col("value").alias("copied"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    dealt = each.select("key", "value", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
-    return dealt.join(copied, (dealt["value"] == copied["copied"]) & (dealt["salt"] == copied["part"])).groupBy(F.col("key").alias("of")).agg(F.collect_set("value").alias("examples"))
-
-
-def _with_examples(found: DataFrame, examples: DataFrame) -> DataFrame:
-    return found.join(examples, found["key"].eqNullSafe(examples["of"]), "left")
+def _ownership(found: DataFrame) -> DataFrame:
+    """(row_no, held): the owners and repositories of each value among a row's candidates.
+    Counts go by value, owner and repository first, so that a value meets its candidates, in
+    parts, as one row for each part."""
+    each = found.filter(F.size("spans") > 0).select("row_no", "owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
+    known = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    known = known.select(F.col("value").alias("of"), "owners", "repositories", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    dealt = each.select("row_no", "value", F.pmod("row_no", F.lit(SALTS)).cast("int").alias("salt"))
+    joined = dealt.join(known, (dealt["value"] == known["of"]) & (dealt["salt"] == known["part"]))
+    return joined.groupBy("row_no").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("owners", "repositories")))).alias("held"))  # a text's own candidates
 
 
 def _reported() -> Column:
-    marked = F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"], (~F.coalesce(F.array_contains("examples", s["value"]), F.lit(False))).alias("live")))
-    return F.filter(marked, lambda s: s["live"] | (s["kind"] < len(BASE)))
+    def marked(s: Column) -> Column:
+        of = F.try_element_at("held", s["value"])
+        live = (of["owners"] <= MOST_OWNERS) & (of["repositories"] <= MOST_REPOSITORIES)
+        return F.struct(s["start"], s["end"], s["kind"], s["value"], of["owners"].alias("owners"), of["repositories"].alias("repositories"), live.alias("live"))
+
+    return F.filter(F.transform("spans", marked), lambda s: s["live"] | (s["kind"] < len(BASE)))
 
 
 def _named(spans: Column) -> Column:
@@ -122,28 +128,31 @@ def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every reported span of `text` replaced by mark, n_chars to match.
+def redacted(docs: DataFrame, mark: str = "[secret]", example: str = "[example]") -> DataFrame:
+    """docs with every reported span of `text` replaced, n_chars to match: by mark where its
+    value is live, by example where it is widely copied.
 
-    Spans that touch or overlap become one mark. Texts without spans stay as they are.
+    Spans that touch or overlap become one mark, of the kind of their first. Texts without
+    spans stay as they are, null and empty ones too; repeated rows and rows with a null
+    doc_id stay each; an empty table stays empty; other columns come through.
     """
     ready(docs.sparkSession)
     owner = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    t = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), owner.alias("owner"), F.concat_ws("/", owner, "lang").alias("repository"))
-    t = stored(found_spans(t, "text"), "spans")
-    unsure = F.exists("spans", lambda s: s["kind"] >= len(BASE))  # only these wait for the corpus
-    sure = t.filter(~unsure).withColumn("examples", F.array().cast("array<bigint>"))
-    t = sure.unionByName(_with_examples(t.filter(unsure), _examples(t.drop("text", "row"))).drop("of"))
+    t = docs.select(F.struct("*").alias("row"), owner.alias("owner"), F.coalesce(_repository(owner), F.lit("")).alias("repository"), F.monotonically_increasing_id().alias("row_no"))
+    t = stored(found_spans(t.withColumn("text", F.coalesce("row.text", F.lit(""))), "text").drop("text"), "spans")
+    clean, hit = t.filter(F.size("spans") == 0), t.filter(F.size("spans") > 0)  # texts without spans go nowhere
+    hit = hit.join(_ownership(t.drop("row")), "row_no", "left").withColumn("text", F.coalesce("row.text", F.lit("")))
     built = F.aggregate(
         _reported(),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
-            F.when((s["start"] <= a["at"]) & (a["at"] > 0), a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
+            F.when((s["start"] <= a["at"]) & (a["at"] > 0), a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.when(s["live"], mark).otherwise(example))).alias("out"),
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    t = t.select("row", F.when(F.size("spans") > 0, built).alias("changed"))
+    hit = hit.select("row", F.when(F.size(_reported()) > 0, built).alias("changed"))
+    t = hit.unionByName(clean.select("row", F.lit(None).cast("string").alias("changed")))
     new = {"text": F.coalesce("changed", "row.text"), "n_chars": F.when(F.col("changed").isNull(), F.col("row.n_chars")).otherwise(F.length("changed").cast("long"))}
     return t.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
@@ -152,7 +161,9 @@ def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     t = scanned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     counts = [F.expr(f"size(filter(spans, s -> s.kind = {n}))").cast("long").alias(f"n_{k}") for n, k in enumerate(BASE)]
-    return t.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
+    verdicts = [F.expr(f"size(filter(spans, s -> {c}))").cast("long").alias(f"n_{name}") for name, c in (("live", "s.live"), ("copied", "not s.live"))]
+    owners = F.array_join(F.transform("spans", lambda s: s["owners"].cast("string")), ",")
+    return t.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"), *verdicts, owners.alias("owners"))
 
 
 def _sql_spans(kind: str, n: int) -> str:
@@ -181,15 +192,17 @@ free AS (
   SELECT k.* FROM kept k WHERE kind < 3 OR NOT EXISTS (
     SELECT 1 FROM kept b WHERE b.kind < 3 AND b.doc_id = k.doc_id AND b.start < k.stop AND k.start < b.stop)),
 held AS (
-  SELECT value, count(DISTINCT source) AS owners, count(DISTINCT source || '/' || lang) AS repositories FROM free GROUP BY value),
-reported AS (
-  SELECT f.* FROM free f JOIN held h ON f.value = h.value
-  WHERE kind < 3 OR (owners <= {MOST_OWNERS} AND repositories <= {MOST_REPOSITORIES})),
+  SELECT value, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT concat_ws('/', coalesce(source, ''), lang)) AS repositories FROM free GROUP BY value),
+judged AS (
+  SELECT f.*, owners, owners <= {MOST_OWNERS} AND repositories <= {MOST_REPOSITORIES} AS live FROM free f JOIN held h ON f.value = h.value),
+reported AS (SELECT * FROM judged WHERE kind < 3 OR live),
 named AS (
   SELECT *, ['assign', 'access', 'hex', 'key'][kind + 1] || ':' || start || ':' || stop AS name FROM reported)
 SELECT d.doc_id, count(*) FILTER (kind = 0)::BIGINT AS n_assign, count(*) FILTER (kind = 1)::BIGINT AS n_access,
        count(*) FILTER (kind = 2)::BIGINT AS n_hex,
        sha256(coalesce(string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
-       coalesce(string_agg(name, ',' ORDER BY start, kind), '') AS spans
+       coalesce(string_agg(name, ',' ORDER BY start, kind), '') AS spans,
+       count(*) FILTER (live)::BIGINT AS n_live, count(*) FILTER (NOT live)::BIGINT AS n_copied,
+       coalesce(string_agg(owners::VARCHAR, ',' ORDER BY start, kind), '') AS owners
 FROM documents d LEFT JOIN named n ON d.doc_id = n.doc_id GROUP BY d.doc_id
 """

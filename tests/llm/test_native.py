@@ -55,11 +55,40 @@ def test_a_bad_host_takes_its_documents_along(spark):
     rows = [(i, "few words" if i % 10 else good, "en", "bad") for i in range(100)] + [(1000 + i, good if i % 10 else "few", "en", f"h{i % 20}") for i in range(2000)]
     rows += [(9000, "few", "en", "tiny"), (9001, good, "en", "tiny")]  # half of two: shrunk to the others' rate
     t = rules.judged(documents(spark, rows))
-    assert t.filter("source = 'bad' and kept").isEmpty() and t.filter("source = 'bad' and host_failed").count() == 100
+    assert t.filter("source = 'bad' and kept").isEmpty() and t.filter("source = 'bad' and host_failed and host_n = 100").count() == 100
     assert t.filter("source like 'h%' and kept").count() == 1800
     assert t.filter("doc_id = 9001").first()["kept"]
 
 
+def test_host_verdicts_by_hand(spark):
+    """The verdict is relative to the corpus: a rate that fails a host among clean ones passes
+    where all fail often, and hosts alike as by chance are all shrunk to one rate."""
+    def verdicts(hosts):
+        t = rules.host_verdicts(spark.createDataFrame(hosts, "host string, n long, failed long"), "host")
+        return {r["host"]: (r["rate"], r["host_failed"]) for r in t.collect()}
+
+    clean = [(f"h{i}", 1000, 20 + i % 3) for i in range(30)]
+    got = verdicts([*clean, ("x", 1000, 250), ("y", 4, 1)])
+    m = (sum(f / n for _, n, f in clean) + 0.25 + 0.25) / 32
+    rates = [f / n for _, n, f in clean] + [0.25, 0.25]
+    s = sum((r - m) ** 2 for r in rates) / 31 - m * (1 - m) * (31 / 1000 + 1 / 4) / 32
+    weight = m * (1 - m) / s - 1
+    assert got["x"] == (pytest.approx((250 + m * weight) / (1000 + weight)), True)
+    assert got["y"][0] < 0.25 and not got["y"][1] and not any(got[h][1] for h, _, _ in clean)
+    assert not any(f for _, f in verdicts([(f"h{i}", 1000, 200 + 10 * (i % 7)) for i in range(30)]).values())
+    assert {f for _, f in verdicts([("a", 10, 0), ("b", 20, 0)]).values()} == {False}
+    assert verdicts([("a", 10, 10)])["a"] == (1.0, False)
+
+
+def test_sql_agrees_where_a_host_fails(spark, tmp_path):
+    good = " ".join(f"w{i}" for i in range(20))
+    rows = [(i, "few words" if i % 3 else good, "en", "bad") for i in range(200)] + [(1000 + i, good if i % 15 else "few", "en", f"h{i % 9}") for i in range(1800)] + [(5000, good, "en", None)]
+    documents(spark, rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert agree(spark, rules.op2_quality_rules, rules.OP2_SQL, str(tmp_path)) == len(rows)
+    t = rules.op2_quality_rules(spark, str(tmp_path))
+    assert t.filter("not base_failed and not kept").count() == 67
+
+
 KINDS = (
     ("assign", re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[1]) >= 12),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
@@ -101,6 +130,24 @@ def test_only_values_of_few_owners_are_added(spark):
     assert out[1]["text"] == "see [secret] here" and out[1]["n_chars"] == 17 and out[10]["text"] == f"example {copied}"
 
 
+def test_ownership_separates_examples_of_base_kinds(spark, tmp_path):
+    """An example key that many owners copy, one owner's own key, and one that a single owner
+    repeats in many documents and one language; SQL agrees."""
+    own, example, often = "AKIA" + "Q7" * 8, "AKIA" + "EXAMPLE0" * 2, "0123456789abcdef0123"
+    rows = [(1, f"use {own} now", "en", "one"), (None, f"{example}", None, None)]
+    rows += [(10 + i, f"docs say {example} and {own if i == 0 else ''}", "en", f"o{i % 5}") for i in range(20)]
+    rows += [(100 + i, f"id {often}", "en", "two") for i in range(300)] + [(500, None, "en", "x"), (501, "", "en", "x"), (1, "use nothing", "en", "one")]
+    documents(spark, rows).dropDuplicates(["doc_id"]).filter("doc_id is not null").unionByName(documents(spark, [(600, example, None, None)])).coalesce(1).write.parquet(str(tmp_path / "a/documents.parquet"))
+    assert agree(spark, secret_scan.op9_secret_scan, secret_scan.OP9_SQL, str(tmp_path / "a")) == len(rows) - 1
+    documents(spark, rows).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = secret_scan.op9_secret_scan(spark, str(tmp_path))
+    assert got.count() == len(rows)
+    told = {r["doc_id"]: (r["n_live"], r["n_copied"], r["owners"]) for r in got.filter("spans <> ''").collect()}
+    assert told[1] == (1, 0, "2") and told[11] == (0, 1, "6") and told[10] == (1, 1, "6,2") and told[100] == (1, 0, "1") and told[None] == (0, 1, "6")
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redacted(documents(spark, rows)).filter("doc_id > 1").collect()}
+    assert out[11] == "docs say [example] and " and out[10] == "docs say [example] and [secret]" and out[100] == "id [secret]" and out[500] is None
+
+
 def test_redaction(spark):
     rows = [(1, "token=abcdefghijklmnop", "en", "a"), (2, "é 0123456789abcdef0 token: 0123456789abcdef end", "en", "a"), (3, None, "en", "a"), (4, "clean", None, None)]
     t = documents(spark, rows)
