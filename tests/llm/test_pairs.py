@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -35,36 +36,103 @@ def test_components(spark, kind):
     assert roots(n, np.array(links, dtype=int).reshape(-1, 2)).tolist() == want
 
 
+def linked_by_hand(rows):
+    """(key, n_links, component) of every row, by all pairs."""
+    def good(k, v):
+        return k is not None and v and None not in v and np.isfinite(v).all() and any(v)
+
+    whole = [(i, np.array(v, float) / np.abs(np.array(v, float)).max()) for i, (k, v) in enumerate(rows) if good(k, v)]
+    links = [(a, b) for x, (a, u) in enumerate(whole) for b, v in whole[x + 1 :] if len(u) == len(v) and u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= 0.95]
+    n, comp = Counter(i for ab in links for i in ab), reached(len(rows), links)
+    smallest = {}
+    for i, (k, _) in enumerate(rows):
+        smallest[comp[i]] = min([x for x in (smallest.get(comp[i]), k) if x is not None], default=None)
+    return Counter((k, n[i], smallest[comp[i]]) for i, (k, _) in enumerate(rows))
+
+
 def test_vectors_by_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
     rows = [b + rng.normal(size=16) * s for b in base for s in (0, 0.02, 0.3, 0)]
     rows = [r.astype("f4").tolist() for r in rows] + [[0.0] * 16, None, [1.0] * 15, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [], (10 * np.array(rows[0])).tolist()]
-    rows = list(enumerate(rows)) + [(2, rows[2]), (None, rows[0])]
-    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"class": F.lit(1), "id": F.lit("x"), "v": F.lit(0)})
-    good = [(i, k, np.array(v, "f4").astype(float)) for i, (k, v) in enumerate(rows) if k is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    links = [(a, b) for x, (a, _, u) in enumerate(good) for b, _, v in good[x + 1 :] if u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= 0.95]
-    n, comp = Counter(i for ab in links for i in ab), reached(len(rows), links)
-    smallest = {}
-    for i, (k, _) in enumerate(rows):
-        smallest[comp[i]] = min([x for x in (smallest.get(comp[i]), k) if x is not None], default=None)
-    want = Counter((k, n[i], smallest[comp[i]]) for i, (k, _) in enumerate(rows))
-    for tile in (4096, 16):
-        got = embed_dedup.near_duplicates(t, tile=tile)
+    rows = list(enumerate(rows)) + [(2, rows[2]), (None, rows[0]), (3, rows[9])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"class": F.lit(1), "node": F.lit("x"), "v": F.lit(0)})
+    want = linked_by_hand([(k, None if v is None else [x if x is None else float(np.float32(x)) for x in v]) for k, v in rows])
+    for tile, most in ((4096, 1 << 20), (16, 1 << 20), (16, 2048)):
+        got = embed_dedup.near_duplicates(t, tile=tile, task_bytes=most)
         assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == want
     assert embed_dedup.near_duplicates(t.limit(0)).count() == 0
     assert embed_dedup.near_duplicates(t.filter("vec_id = 160")).first()["n_links"] == 0
 
 
+def test_lengths_and_sizes_of_any_kind(spark):
+    """Vectors of several lengths, of 1e200 and 1e-200, and of one component."""
+    rng = np.random.default_rng(7)
+    rows = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [1.0, 0.0], [1.0, 0.0], [1e200, 1e200], [1e-200, 1.01e-200], [1e300, -1e300], [2.0], [5e-324], [-3.0], [-0.0, 1.0], [0.0, 1.0]]
+    rows += [(10.0 ** rng.integers(-250, 250) * (b + 0.05 * rng.normal(size=d))).tolist() for d in (2, 3, 7, 40) for b in rng.normal(size=(6, d)) for _ in range(5)]
+    rows = list(enumerate(rows))
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for tile in (4096, 10):
+        got = embed_dedup.near_duplicates(t, tile=tile, task_bytes=400)
+        assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == linked_by_hand(rows)
+
+
+def test_equal_coordinates_are_dealt_on(spark):
+    """All vectors share their first coordinates; tiles stay alike in size, links whole."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [0.0] * k + [1.0] + [0.0] * (30 - k)) for i, k in enumerate(rng.integers(0, 31, 900).tolist())]
+    rows = [(i, [x + (1e-4 * i if x else 0) for x in v]) for i, v in rows]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=100)
+    place = {i: v.index(max(v)) for i, v in rows}
+    first, n = {}, Counter(place.values())
+    for i, k in place.items():
+        first.setdefault(k, i)
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()} == {(i, n[k] - 1, first[k]) for i, k in place.items()}
+
+
+@pytest.mark.parametrize("q", [2, 3, 5, 7])
+def test_any_two_tiles_meet_in_one_task(q):
+    n = q * q + q + 1
+    lines = [set(embed_dedup.through(k, q)) for k in range(n)]
+    assert all(len(x) == q + 1 and max(x) < n for x in lines)
+    assert all(len(lines[a] & lines[b]) == 1 for a in range(n) for b in range(a))
+    assert all((p in lines[k]) == (k in lines[p]) for p in range(n) for k in range(n))
+
+
+def test_copies_of_a_million_vectors():
+    """Of 64 floats: three copies, tasks within their bytes; and bounded however many."""
+    assert embed_dedup.order_for(1_000_000 * 256, embed_dedup.TASK_BYTES) == 2
+    for n in (10**7, 10**8):
+        q = embed_dedup.order_for(n * 256, embed_dedup.TASK_BYTES)
+        assert n * 256 * (q + 1) / (q * q + q + 1) <= embed_dedup.TASK_BYTES and q <= 1.25 * n * 256 / embed_dedup.TASK_BYTES + 2
+
+
+def test_far_tiles_are_not_compared(spark):
+    """Vectors along an arc: tiles that lie apart share no task but by chance of the plane."""
+    angle = np.linspace(0, math.pi, 3000)
+    rows = [(i, [math.cos(a), math.sin(a), 0.0]) for i, a in enumerate(angle.tolist())]
+    t = embed_dedup.signed(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", "<f8").select(F.col("key").alias("node"), F.lit(1).cast("long").alias("members"), "dims", "x")
+    of = embed_dedup.tiling_of(t, 3, "<f8", 3000, 6000)
+    there = [k for k in range(len(of.low)) if np.isfinite(of.low[k]).all()]
+    near = sum(of.near(a, np.array([b]), 0.95)[0] for a in there for b in there)
+    assert len(there) > 20 and near < 0.5 * len(there) ** 2
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=100, task_bytes=6000)
+    wide = sum(1 for a in angle[1:] if math.cos(a) >= 0.95)
+    assert got.filter("vec_id = 1500").first()["n_links"] == 2 * wide and got.filter("component_id <> 0").isEmpty()
+
+
 def test_residual_bound_loses_nothing():
     rng = np.random.default_rng(6)
     a = rng.normal(size=(300, 32)) * np.linspace(2, 0.1, 32)
     a[150:] = a[:150] + rng.normal(size=(150, 32)) * 0.15
     u = embed_dedup.unit(a)
     axes = np.linalg.eigh(u.T @ u)[1][:, ::-1]
-    got = embed_dedup.linked(a, a, u @ axes, u @ axes, True, 0.95, block=64)
+    side = embed_dedup.Tile(a, axes)
+    got = embed_dedup.linked(side, side, 0.95, block=64)
     want = [(i, j) for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= 0.95]
-    assert sorted(map(tuple, got.tolist())) == want and want
+    assert sorted(tuple(sorted(p)) for p in got.tolist()) == want and want
+    one, two = embed_dedup.Tile(a[:150], axes), embed_dedup.Tile(a[150:], axes)
+    assert sorted((i, j + 150) for i, j in embed_dedup.linked(one, two, 0.95, block=64).tolist()) == [(i, j) for i, j in want if i < 150 <= j]
 
 
 def near_texts(seed=7):
