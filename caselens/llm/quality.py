@@ -192,10 +192,12 @@ def is_held_out(key: str, parts: int, part: int) -> Column:
 
 def ensemble_from(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held_out: Column, sample: int = SAMPLE) -> RuleEnsemble:
     """The ensemble for labelled rows outside the held-out fold; at most `sample` keys by the
-    order of a hash. Null labels and keys are left out."""
+    order of a hash, each one row, of several texts the smallest. Null labels and keys are
+    left out."""
     marks = labels.select(F.col(key).alias(key), F.col(label).cast("int").alias("y")).filter(F.col(key).isNotNull() & F.col("y").isNotNull()).groupBy(key).agg(F.max("y").alias("y")).filter(~held_out)
     marks = marks.orderBy(F.xxhash64(F.col(key).cast("string"))).limit(sample).select(F.col(key).alias("of"), "y")
     rows = table_columns(docs, {"key": F.col(key), "text": F.col(text)}).join(F.broadcast(marks), F.col("key") == F.col("of"))  # bounded by the parameter
+    rows = rows.groupBy("key", "y").agg(F.min("text").alias("text"))  # one row a key, however often it is repeated
     rows = with_statistics(rows.select("y", "text"), "text").select("row.y", *STATISTICS).toPandas()
     return fitted(rows[list(STATISTICS)].to_numpy(dtype=float), rows["y"].to_numpy())
 
@@ -214,7 +216,9 @@ def with_score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier does not reject, as they are."""
+    """The rows of docs that the classifier does not reject, as they are. Null and empty texts
+    are judged by statistics of 0; repeated rows and rows with a null key each by its own
+    text; without labels all stay; an empty table stays empty; other columns come through."""
     return with_score(docs, labels).filter(F.col("score") >= THRESHOLD).select("row.*")
 
 

@@ -6,9 +6,12 @@ With the class prior p, the risk of a linear classifier is
     p E_pos[l(g)] + max(0, E_unl[l(-g)] - p E_pos[l(-g)]),
 
 whose second term estimates the risk over clean texts and is kept from going below zero;
-where it does, steps go against it instead. Classifiers are numpy logistic models over words
-and word beginnings, each by how far its count lies over what clean text of the same length
-holds; a few of them, each on its own part of the unlabelled texts, are averaged.
+where it does, steps go against it instead. Unlabelled texts are documents without a label.
+Classifiers are numpy logistic models over words and word beginnings, each by how far its
+count lies over what clean text of the same length holds, which can only speak for toxicity:
+weights stay at 0 or above. A few models, each on its own part of the unlabelled texts, are
+averaged. A text counts as toxic from the margin at which the same risk, under the zero-one
+loss, is least over the sample.
 
 A text is scored from its distinct words: a word's features are found once for each task,
 and words without a weight cost a look-up.
@@ -35,7 +38,8 @@ from caselens.session import stored
 #: Bounds of the sample that models are fitted on: toxic and unlabelled documents.
 POSITIVES = 1_500
 UNLABELLED = 4_500
-#: Features of the models, at most, and documents that a feature must occur in.
+#: The choice of features, from that sample alone; every text is scored by all that are chosen.
+#: Features that are looked at, at most, and sampled documents that one must occur in.
 FEATURES = 1_500
 LEAST_DOCUMENTS = 4
 #: A feature is looked at when positives hold it this many times as often as others.
@@ -44,7 +48,7 @@ LEAST_RATIO = 8.0
 MOST_COMMON = 1.5
 #: Share of the positives that a feature must occur in, and newly cover; features for each.
 LEAST_SHARE = 0.005
-COVER = 3
+COVER = 6
 #: Excess from which a document counts as holding a feature.
 HIGH = 0.7
 #: Excess may count from each of these on: words that clean texts hold by chance tell
@@ -148,7 +152,7 @@ def chosen_features(s: Sample, prior: float, most: int = FEATURES) -> tuple[np.n
     def share(which: np.ndarray, docs: np.ndarray) -> np.ndarray:
         return np.bincount(at[which], count[which], minlength=len(values)) / max(float(s.runs[docs].sum()), 1.0)
 
-    rates = np.maximum(share(~of_toxic, ~s.toxic) - prior * share(of_toxic, s.toxic), 0) / (1 - prior)
+    rates = np.maximum(share(~of_toxic, ~s.toxic) - prior * share(of_toxic, s.toxic), 0) / max(1 - prior, 1e-9)
     over = excess(count, (s.runs[doc] * rates[at]).astype(np.float32))
     more = over > 0  # the rest counts for nothing
     at, doc, of_toxic, over = at[more], doc[more], of_toxic[more], over[more]
@@ -159,7 +163,7 @@ def chosen_features(s: Sample, prior: float, most: int = FEATURES) -> tuple[np.n
     n_pos = np.bincount(at[high & of_toxic], minlength=columns)
     n_unl = np.bincount(at[high & ~of_toxic], minlength=columns)
     rate = n_pos / max(positives, 1)
-    clean = np.maximum(n_unl / others - prior * rate, 0) / (1 - prior)
+    clean = np.maximum(n_unl / others - prior * rate, 0) / max(1 - prior, 1e-9)
     good = np.flatnonzero((n_pos >= least) & (rate >= LEAST_RATIO * (clean + 0.5 / others)))
     good = good[np.argsort(-(rate - clean)[good], kind="stable")][:most]
     place = np.full(columns, -1)
@@ -190,38 +194,43 @@ def chosen_features(s: Sample, prior: float, most: int = FEATURES) -> tuple[np.n
     return values[of], rates[of], level, x
 
 
-def nonnegative_pu(x: np.ndarray, toxic: np.ndarray, prior: float, rng: np.random.Generator, epochs: int = 100, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the non-negative risk under the logistic loss,
-    by adaptive gradient steps over batches that hold both kinds."""
+def risk_parts(x: np.ndarray, toxic: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(p E_pos[l(g)], E_unl[l(-g)] - p E_pos[l(-g)], and their gradients in (w, b)) under the
+    logistic loss; the risk is the first and the second where that is positive."""
+    xp, xu = x[toxic], x[~toxic]
+    zp, zu = xp @ w + b, xu @ w + b
+    up, uu = 1 / (1 + np.exp(-np.clip(zp, -35, 35))), 1 / (1 + np.exp(-np.clip(zu, -35, 35)))
+    found = prior * np.logaddexp(0, -zp).mean()
+    clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    to_found = prior * np.append(xp.T @ (up - 1) / len(zp), (up - 1).mean())
+    to_clean = np.append(xu.T @ uu / len(zu) - prior * xp.T @ up / len(zp), uu.mean() - prior * up.mean())
+    return float(found), float(clean), to_found, to_clean
+
+
+def nonnegative_pu(x: np.ndarray, toxic: np.ndarray, prior: float, rng: np.random.Generator, steps: int = 700, rate: float = 0.03, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights, none below 0, and intercept that minimise the non-negative risk, by adaptive
+    gradient steps over batches that hold both kinds."""
     pos, unl = np.flatnonzero(toxic), np.flatnonzero(~toxic)
-    w, b = np.zeros(x.shape[1]), -1.0
-    mw, mb, sw, sb, step = np.zeros_like(w), 0.0, np.zeros_like(w), 0.0, 0
+    k = x.shape[1]
+    t, first, second, step = np.append(np.zeros(k), -1.0), np.zeros(k + 1), np.zeros(k + 1), 0
     parts = max(1, min(len(pos), len(unl)) // 200)
-    for _ in range(epochs):
+    for _ in range(-(-steps // parts)):
         for p_rows, u_rows in zip(np.array_split(rng.permutation(pos), parts), np.array_split(rng.permutation(unl), parts)):
             if not len(p_rows) or not len(u_rows):
                 continue
-            zp, zu = x[p_rows] @ w + b, x[u_rows] @ w + b
-            up = 1 / (1 + np.exp(-np.clip(zp, -35, 35)))
-            uu = 1 / (1 + np.exp(-np.clip(zu, -35, 35)))
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            clean = (x[u_rows].T @ uu / len(u_rows) - prior * x[p_rows].T @ up / len(p_rows), uu.mean() - prior * up.mean())
-            if negative >= 0:
-                gw = clean[0] + prior * x[p_rows].T @ (up - 1) / len(p_rows) + decay * w
-                gb = clean[1] + prior * (up - 1).mean()
-            else:
-                gw, gb = -clean[0], -clean[1]
+            rows = np.concatenate([p_rows, u_rows])
+            _, clean, to_found, to_clean = risk_parts(x[rows], toxic[rows], prior, t[:k], t[k])
+            slope = to_found + to_clean + decay * np.append(t[:k], 0) if clean >= 0 else -to_clean
             step += 1
-            mw, mb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb
-            sw, sb = 0.99 * sw + 0.01 * gw**2, 0.99 * sb + 0.01 * gb**2
-            scale, grown = 1 - 0.9**step, 1 - 0.99**step
-            w = w - rate * 0.1 * (mw / scale) / (np.sqrt(sw / grown) + 1e-6)
-            b = b - rate * 0.1 * (mb / scale) / (np.sqrt(sb / grown) + 1e-6)
-    return w, b
+            first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+            t = t - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+            t[:k] = np.maximum(t[:k], 0)
+    return t[:k], float(t[k])
 
 
 def fitted(s: Sample, prior: float, seed: int = 11) -> Model:
-    """No positives, or nothing that tells them apart: a model that finds nothing."""
+    """No positives, no unlabelled texts, or nothing that tells them apart: a model that finds
+    nothing."""
     features, rates, levels, x = chosen_features(s, prior)
     if not len(features):
         return Model({}, np.zeros(1), np.zeros((len(LEVELS), 1)), -4.0)
@@ -229,43 +238,43 @@ def fitted(s: Sample, prior: float, seed: int = 11) -> Model:
     for _ in range(MODELS):
         part = s.toxic | (rng.random(len(s.toxic)) < 0.7)
         models.append(nonnegative_pu(x[part], s.toxic[part], prior, rng))
-    w, b = np.maximum(np.mean([m[0] for m in models], axis=0), 0), float(np.mean([m[1] for m in models]))
+    w, b = np.mean([m[0] for m in models], axis=0), float(np.mean([m[1] for m in models]))
     names, first, place = np.unique(features, return_index=True, return_inverse=True)
     weights = np.zeros((len(LEVELS), len(names)))
     weights[levels, place] = w
-    return Model({int(f): i for i, f in enumerate(names)}, rates[first], weights, b - calibrated(x[~s.toxic] @ w + b, b, prior))
+    return Model({int(f): i for i, f in enumerate(names)}, rates[first], weights, b - decided(x @ w + b, s.toxic, prior))
 
 
-def calibrated(margins: np.ndarray, bare: float, prior: float) -> float:
-    """The margin at which a text counts as toxic: the middle of the widest gap between
-    unlabelled texts' margins, about where the prior's share of them lies above. The
-    non-negative risk orders texts well; its zero is off where the prior is."""
-    if not len(margins):
-        return bare + 1
-    low, high = np.quantile(margins, [max(0.0, 1 - 1.3 * prior), 1 - 0.8 * prior], method="higher")
-    near = np.unique(np.append(margins[(margins >= low) & (margins <= high)], bare if low <= bare + 1e-9 else low))
-    if len(near) < 2:
-        above = margins[margins > near[0] + 1e-9]
-        return (near[0] + above.min()) / 2 if len(above) else near[0] + 1
-    gap = int(np.argmax(np.diff(near)))
-    return float(near[gap] + near[gap + 1]) / 2
+def decided(margins: np.ndarray, toxic: np.ndarray, prior: float) -> float:
+    """The margin from which a text counts as toxic: where the non-negative risk under the
+    zero-one loss, p P_pos[below] + max(0, P_unl[above] - p P_pos[above]), is least over the
+    sample; the highest such margin, and the middle of the gap below it. The logistic loss
+    orders texts well, but its zero also weighs by how much texts are off."""
+    cuts = np.unique(margins)
+    above = np.array([1 - np.searchsorted(np.sort(margins[kind]), cuts) / max(int(kind.sum()), 1) for kind in (toxic, ~toxic)])
+    risk = prior * (1 - above[0]) + np.maximum(above[1] - prior * above[0], 0)
+    best = int(np.flatnonzero(risk <= risk.min() + 1e-12)[-1])
+    return float(cuts[best] + cuts[best - 1]) / 2 if best else float(cuts[0])
 
 
 def sample_for_fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held_out, positives: int, unlabelled: int) -> tuple[Sample, float]:
     """The sampled documents' features, and the prior.
 
-    At most `positives` toxic and `unlabelled` other labelled rows outside the held-out
-    fold, by the order of a hash; what the others' labels say is used for the prior alone,
-    the share of toxic rows among all labelled ones outside the fold.
+    At most `positives` keys with a toxic label and `unlabelled` keys of other documents, by
+    the order of a hash; none of the held-out fold. Documents without a label come first
+    among the unlabelled; where these are too few, labelled ones follow, whose labels are not
+    looked at. A key is one row, of several texts the smallest. The prior is the share of
+    toxic rows among all labelled ones outside the fold.
     """
-    marks = labels.select(F.col(key).alias(key), F.col(label).cast("int").alias("y")).filter(F.col(key).isNotNull() & F.col("y").isNotNull()).groupBy(key).agg(F.max("y").alias("y")).filter(~held_out)
-    share = marks.agg(F.avg("y")).first()[0]
-    prior = min(max(float(share or 0.0), 0.01), 0.5)
-    order = F.xxhash64(F.col(key).cast("string"))
-    toxic = marks.filter("y = 1").orderBy(order).limit(positives)
-    others = marks.withColumn("y", F.lit(0)).orderBy(F.xxhash64(F.concat_ws("-", F.lit("u"), F.col(key).cast("string")))).limit(unlabelled)  # toxic ones too: they are unlabelled here
-    ids = toxic.unionByName(others).select(F.col(key).alias("of"), "y")
-    rows = stored(table_columns(docs, {"key": F.col(key), "text": F.coalesce(F.col(text), F.lit(""))}).join(F.broadcast(ids), F.col("key") == F.col("of")).drop("of"), "sample")  # bounded by the two parameters
+    marks = labels.select(F.col(key).alias(key), F.col(label).cast("int").alias("y")).filter(F.col(key).isNotNull() & F.col("y").isNotNull()).groupBy(key).agg(F.max("y").alias("y"))
+    prior = float(marks.filter(~held_out).agg(F.avg("y")).first()[0] or 0.0)
+    toxic = marks.filter(~held_out & (F.col("y") == 1)).orderBy(F.xxhash64(F.col(key).cast("string"))).limit(positives)
+    known = marks.select(F.col(key).alias("of"), F.lit(1).alias("known"))
+    others = docs.select(F.col(key).alias(key)).filter(F.col(key).isNotNull()).distinct().join(known, F.col(key) == F.col("of"), "left").filter(F.col("known").isNull() | ~held_out)
+    others = others.orderBy(F.col("known").asc_nulls_first(), F.xxhash64(F.concat_ws("-", F.lit("u"), F.col(key).cast("string")))).limit(unlabelled)
+    ids = toxic.select(F.col(key).alias("of"), "y").unionByName(others.select(F.col(key).alias("of"), F.lit(0).alias("y")))
+    rows = table_columns(docs, {"key": F.col(key), "text": F.coalesce(F.col(text), F.lit(""))}).join(F.broadcast(ids), F.col("key") == F.col("of"))  # bounded by the two parameters
+    rows = stored(rows.groupBy("key", "y").agg(F.min("text").alias("text")), "sample")  # one row a key, however often it is repeated
 
     def held(batches):
         for t in gathered(batches):
@@ -276,7 +285,7 @@ def sample_for_fit(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     least, n_pos, n_unl = max(LEAST_DOCUMENTS, LEAST_SHARE * size.get(1, 0)), max(size.get(1, 0), 1), max(size.get(0, 0), 1)
     common = rows.select("text", "y").mapInArrow(held, "feature long, y int").groupBy("feature").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("unl"))
-    clean = (F.col("unl") / n_unl - prior * F.col("pos") / n_pos) / (1 - prior)
+    clean = (F.col("unl") / n_unl - prior * F.col("pos") / n_pos) / max(1 - prior, 1e-9)
     common = common.filter((F.col("pos") >= least) & (F.col("pos") / n_pos >= MOST_COMMON * clean))
     wanted = {r[0]: r[0] for r in common.select("feature").collect()}  # each in at least LEAST_SHARE of the positives, and rarer elsewhere
 
@@ -313,7 +322,9 @@ def with_score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that do not count as toxic, as they are."""
+    """The rows of docs that do not count as toxic, as they are. Null and empty texts stay;
+    repeated rows and rows with a null key are judged each by its own text; where no label
+    says toxic all stay; an empty table stays empty; other columns come through."""
     return with_score(docs, labels).filter(F.col("score") < 0.5).select("row.*")
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -104,3 +105,95 @@ def test_risk_is_not_driven_below_zero():
     w, b = toxicity.nonnegative_pu(x, toxic, 0.2, rng)
     assert w[0] > 1 and abs(w[1]) < w[0] / 2
     assert np.isfinite(b)
+
+
+def brute_risk(x, toxic, prior, w, b):
+    """p E_pos[l(g)] and E_unl[l(-g)] - p E_pos[l(-g)], a document at a time."""
+    loss = lambda z: math.log1p(math.exp(-z)) if z > -30 else -z
+    z = [sum(a * c for a, c in zip(row, w)) + b for row in x]
+    pos, unl = [v for v, t in zip(z, toxic) if t], [v for v, t in zip(z, toxic) if not t]
+    mean = lambda v: sum(v) / len(v)
+    return prior * mean([loss(v) for v in pos]), mean([loss(-v) for v in unl]) - prior * mean([loss(-v) for v in pos])
+
+
+def test_risk_and_gradients_by_brute_force():
+    rng = np.random.default_rng(5)
+    x, toxic = rng.random((60, 3)), rng.random(60) < 0.4
+    for _ in range(5):
+        t = rng.normal(size=4) * 3
+        found, clean, to_found, to_clean = toxicity.risk_parts(x, toxic, 0.3, t[:3], t[3])
+        assert (found, clean) == pytest.approx(brute_risk(x, toxic, 0.3, t[:3], t[3]))
+        for k in range(4):
+            d = np.eye(4)[k] * 1e-6
+            up, down = (brute_risk(x, toxic, 0.3, *((t + s * d)[:3], (t + s * d)[3])) for s in (1, -1))
+            assert [to_found[k], to_clean[k]] == pytest.approx([(u - v) / 2e-6 for u, v in zip(up, down)], abs=1e-6)
+
+
+def test_fit_comes_near_the_least_risk():
+    """One feature: against all weights and intercepts of a grid."""
+    rng = np.random.default_rng(6)
+    toxic = np.arange(900) < 300
+    hidden = toxic | (rng.random(900) < 0.25)
+    x = np.where(hidden, rng.normal(1.5, 0.5, 900), rng.normal(0.3, 0.5, 900)).clip(0)[:, None]
+    whole = lambda w, b: (lambda r: r[0] + max(0.0, r[1]))(toxicity.risk_parts(x, toxic, 0.25, np.array([w]), b)[:2])
+    best = min(whole(w, b) for w in np.linspace(0, 12, 49) for b in np.linspace(-14, 2, 65))
+    w, b = toxicity.nonnegative_pu(x, toxic, 0.25, rng)
+    assert whole(w[0], b) <= best + 0.02 and w[0] > 1
+    assert whole(w[0], b) < 0.5 * whole(0.0, -1.0)
+
+
+def test_decision_by_brute_force():
+    rng = np.random.default_rng(7)
+    toxic = np.arange(300) < 100
+    z = np.where(toxic | (rng.random(300) < 0.2), rng.normal(2, 1, 300), rng.normal(-1, 1, 300)).round(1)
+    risk = lambda t: 0.2 * (z[toxic] < t).mean() + max(0.0, (z[~toxic] >= t).mean() - 0.2 * (z[toxic] >= t).mean())
+    least = min(map(risk, z))
+    t = toxicity.decided(z, toxic, 0.2)
+    assert risk(t) == pytest.approx(least) and all(risk(v) > least + 1e-12 for v in z if v > t + 0.2 and risk(v) != risk(t))
+    assert toxicity.decided(np.array([-2.0, -1.0, 3.0, 3.5]), np.array([False, False, True, True]), 0.3) == 1.0
+
+
+@pytest.fixture(scope="module")
+def test_table(spark):
+    d = "/root/testdata/sf0.1"
+    return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+
+
+def of_held_out(df, labels, label, parts, part):
+    got = df.toPandas().merge(labels.toPandas(), on="doc_id")
+    got = got[[held_out(i, parts, part) for i in got.doc_id]]
+    return got.score >= 0.5, got[label] == 1
+
+
+def test_toxicity_of_held_out_labels(spark, test_table):
+    docs, labels = test_table
+    found, toxic = of_held_out(toxicity.with_score(docs, labels).select("row.doc_id", "score"), labels, "toxic", 5, 0)
+    assert (found & toxic).sum() / toxic.sum() >= 0.9 and (found & toxic).sum() / found.sum() >= 0.9
+
+
+def test_quality_of_held_out_labels(spark, test_table):
+    docs, labels = test_table
+    found, good = of_held_out(quality.with_score(docs, labels).select("row.doc_id", "score"), labels, "quality", 3, 1)
+    assert (found == good).mean() >= 0.99
+
+
+def test_a_key_of_many_rows_is_one_row_of_the_sample(spark, corpus):
+    rows, marks = corpus
+    often = next(i for i, _, t in marks if t and not held_out(i, 5, 0) and not held_out(i, 3, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.unionByName(spark.range(20_000).select(F.lit(often).cast("long").alias("doc_id"), F.concat(F.lit("zz "), F.col("id").cast("string")).alias("text")))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    sample, prior = toxicity.sample_for_fit(docs, labels, "doc_id", "text", "toxic", quality.is_held_out("doc_id", 5, 0), 1500, 4500)
+    learned = [t for i, _, t in marks if not held_out(i, 5, 0)]
+    assert prior == pytest.approx(sum(learned) / len(learned)) and sample.toxic.sum() == sum(learned)
+    assert len(sample.runs) == sum(learned) + len(learned)  # no document lacks a label here
+
+
+def test_documents_without_a_label_come_first_among_the_unlabelled(spark):
+    docs = spark.createDataFrame([(i, f"text{i} a") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    sample, _ = toxicity.sample_for_fit(docs, labels, "doc_id", "text", "toxic", quality.is_held_out("doc_id", 5, 0), 1500, 150)
+    assert (~sample.toxic).sum() == 150 and sample.toxic.sum() == sum(i % 4 == 0 and not held_out(i, 5, 0) for i in range(200))
+    for share in (0, 1):  # none toxic, and all of them
+        same = labels.withColumn("toxic", F.lit(share))
+        assert toxicity.with_score(docs, same).filter("score between 0 and 1").count() == 400
