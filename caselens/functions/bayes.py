@@ -16,6 +16,13 @@ START = (0.2, 0.1, 2.0, 4.0, 0.3333)
 LOW = np.array([np.log(1e-3)] * 4 + [-6.0])
 HIGH = np.array([np.log(1e3)] * 4 + [6.0])
 SAMPLE = 200_000
+#: Evaluations of the likelihood in a whole fit, at most; one takes a quarter of a second on
+#: the largest sample, so a fit ends within about two minutes whatever the counts.
+EVALUATIONS = 480
+#: Steps after which starts are compared, and the gain of a step, as a share of the value,
+#: below which a search ends after three such steps.
+FIRST_STEPS = 25
+LEAST_GAIN = 1e-8
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -91,54 +98,81 @@ def negative_log_likelihood(t: np.ndarray, n: np.ndarray, e: np.ndarray) -> tupl
     return -float(whole.sum()), -np.array([*slopes, (w - p).sum()])
 
 
-def fit(n: np.ndarray, e: np.ndarray, steps: int = 500) -> tuple[float, float, float, float, float]:
-    """(a1, b1, a2, b2, p) that maximise the likelihood, components by rising mean: damped
-    quasi-Newton steps inside the box, from several starts."""
+class Search:
+    """Damped quasi-Newton steps inside the box from one start. It ends when steps gain next
+    to nothing, as on the flat ridge of counts that hold no clear mixture."""
+
+    def __init__(self, start: tuple[float, ...], n: np.ndarray, e: np.ndarray):
+        self.n, self.e = n, e
+        self.t = np.array([*np.log(start[:4]), np.log(start[4] / (1 - start[4]))])
+        self.value, self.slope = negative_log_likelihood(self.t, n, e)
+        self.inverse, self.evaluations, self.idle, self.done = self.plain(), 1, 0, False
+
+    def plain(self) -> np.ndarray:
+        return np.eye(5) / max(np.abs(self.slope).max(), 1.0)
+
+    def step(self) -> None:
+        free = ~(((self.t <= LOW) & (self.slope > 0)) | ((self.t >= HIGH) & (self.slope < 0)))
+        way = -(self.inverse * np.outer(free, free)) @ self.slope
+        if way @ self.slope >= 0:
+            self.inverse = self.plain()
+            way = -self.slope * free / max(np.abs(self.slope).max(), 1.0)
+        size = min(1.0, 2 / max(np.abs(way).max(), 1e-12))
+        for _ in range(20):
+            t = np.clip(self.t + size * way, LOW, HIGH)
+            value, slope = negative_log_likelihood(t, self.n, self.e)
+            self.evaluations += 1
+            if np.isfinite(value) and value <= self.value + 1e-4 * (self.slope @ (t - self.t)):
+                break
+            size /= 2
+        else:
+            self.done = True
+            return
+        s, y = t - self.t, slope - self.slope
+        if s @ y > 1e-12:
+            left = np.eye(5) - np.outer(s, y) / (s @ y)
+            self.inverse = left @ self.inverse @ left.T + np.outer(s, s) / (s @ y)
+        self.idle = self.idle + 1 if self.value - value <= LEAST_GAIN * max(abs(self.value), 1.0) else 0
+        self.done = self.idle >= 3
+        self.t, self.value, self.slope = t, value, slope
+
+    def run(self, steps: int, evaluations: int) -> None:
+        for _ in range(steps):
+            if self.done or self.evaluations >= evaluations:
+                break
+            self.step()
+
+
+def fit(n: np.ndarray, e: np.ndarray, evaluations: int = EVALUATIONS) -> tuple[float, float, float, float, float]:
+    """(a1, b1, a2, b2, p) that maximise the likelihood, components by rising mean. Searches
+    from several starts go a few steps each; the best of them goes on to its end."""
     n, e = np.asarray(n, dtype=float), np.maximum(np.asarray(e, dtype=float), 1e-9)
     if n.shape != e.shape or not len(n):
         raise ValueError("observed and expected counts must be alike and not empty")
-    best = (np.inf, None)
-    for start in (START, (1.0, 1.0, 3.0, 2.0, 0.5), (0.5, 0.5, 5.0, 5.0, 0.1)):
-        t = np.array([*np.log(start[:4]), np.log(start[4] / (1 - start[4]))])
-        value, slope = negative_log_likelihood(t, n, e)
-        inverse = np.eye(5) / max(np.abs(slope).max(), 1.0)
-        for _ in range(steps):
-            free = ~(((t <= LOW) & (slope > 0)) | ((t >= HIGH) & (slope < 0)))
-            way = -(inverse * np.outer(free, free)) @ slope
-            if way @ slope >= 0:
-                inverse = np.eye(5) / max(np.abs(slope).max(), 1.0)
-                way = -slope * free / max(np.abs(slope).max(), 1.0)
-            size = min(1.0, 2 / max(np.abs(way).max(), 1e-12))
-            for _ in range(40):
-                other = np.clip(t + size * way, LOW, HIGH)
-                new, new_slope = negative_log_likelihood(other, n, e)
-                if np.isfinite(new) and new <= value + 1e-4 * (slope @ (other - t)):
-                    break
-                size /= 2
-            else:
-                break
-            s, y = other - t, new_slope - slope
-            done = value - new <= 1e-12 * max(abs(value), 1.0)
-            if s @ y > 1e-12:
-                rho = 1 / (s @ y)
-                left = np.eye(5) - rho * np.outer(s, y)
-                inverse = left @ inverse @ left.T + rho * np.outer(s, s)
-            t, value, slope = other, new, new_slope
-            if done:
-                break
-        if value < best[0]:
-            best = (value, t)
-    a1, b1, a2, b2 = np.exp(best[1][:4])
-    p = 1 / (1 + np.exp(-best[1][4]))
+    starts = (START, (1.0, 1.0, 3.0, 2.0, 0.5), (0.5, 0.5, 5.0, 5.0, 0.1))
+    searches = [Search(s, n, e) for s in starts]
+    for x in searches:
+        x.run(FIRST_STEPS, evaluations // (2 * len(starts)))
+    best = min(searches, key=lambda x: x.value)
+    spent = sum(x.evaluations for x in searches if x is not best)
+    best.run(evaluations, evaluations - spent)
+    a1, b1, a2, b2 = np.exp(best.t[:4])
+    p = 1 / (1 + np.exp(-best.t[4]))
     return (a1, b1, a2, b2, p) if a1 / b1 <= a2 / b2 else (a2, b2, a1, b1, 1 - p)
 
 
+def posterior_weight(n: np.ndarray, e: np.ndarray, theta: tuple[float, ...]) -> np.ndarray:
+    """The first component's share in the posterior mixture."""
+    a1, b1, a2, b2, p = theta
+    f1, f2 = np.log(p) + nb_log_pmf(n, e, a1, b1), np.log1p(-p) + nb_log_pmf(n, e, a2, b2)
+    return np.exp(f1 - np.logaddexp(f1, f2))
+
+
 def scores(n: np.ndarray, e: np.ndarray, theta: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ebgm, eb05, eb95): geometric mean and quantiles of the posterior mixture."""
     a1, b1, a2, b2, p = theta
     n, e = np.asarray(n, dtype=float), np.maximum(np.asarray(e, dtype=float), 1e-9)
-    f1, f2 = np.log(p) + nb_log_pmf(n, e, a1, b1), np.log1p(-p) + nb_log_pmf(n, e, a2, b2)
-    w = np.exp(f1 - np.logaddexp(f1, f2))
+    w = posterior_weight(n, e, theta)
     ebgm = np.exp(w * (digamma(a1 + n) - np.log(b1 + e)) + (1 - w) * (digamma(a2 + n) - np.log(b2 + e)))
 
     def below(x: np.ndarray) -> np.ndarray:
@@ -160,11 +194,12 @@ def scores(n: np.ndarray, e: np.ndarray, theta: tuple[float, ...]) -> tuple[np.n
 
 
 def score_columns(n: Column, e: Column, theta: tuple[float, ...]) -> Column:
-    """A struct of ebgm, eb05 and eb95."""
+    """A struct of ebgm, eb05, eb95 and the first component's posterior weight."""
 
-    @F.pandas_udf("struct<ebgm:double,eb05:double,eb95:double>")
+    @F.pandas_udf("struct<ebgm:double,eb05:double,eb95:double,weight:double>")
     def run(observed: pd.Series, expected: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("ebgm", "eb05", "eb95"), scores(observed.to_numpy(), expected.to_numpy(), theta))))
+        n, e = observed.to_numpy(dtype=float), np.maximum(expected.to_numpy(dtype=float), 1e-9)
+        return pd.DataFrame(dict(zip(("ebgm", "eb05", "eb95", "weight"), (*scores(n, e, theta), posterior_weight(n, e, theta)))))
 
     return run(n.cast("double"), e)
 

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from caselens.config import SUSPECT_ROLES
+from caselens.session import stored
 
 
 @dataclass(frozen=True)
@@ -21,13 +21,15 @@ class CaseTables:
 
 def latest_cases(reports: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
     """The last version of each case that is not deleted: by date, version and id, nulls last.
-    Ids compare as strings. Deleted cases go before anything is shuffled by case."""
+    Ids compare as strings. Deleted cases go before anything is shuffled by case, and each
+    task keeps one version of a case before the shuffle. Rows without a case id are one case."""
     t = reports.withColumn("primaryid", F.col("primaryid").cast("string")).withColumn("caseid", F.col("caseid").cast("string"))
     if deleted is not None:
         t = t.join(deleted.select(F.col("caseid").cast("string").alias("caseid")).filter("caseid is not null").distinct(), "caseid", "left_anti")
     version = F.expr("try_cast(case_version as int)") if "case_version" in t.columns else F.lit(None).cast("int")
-    order = Window.partitionBy("caseid").orderBy(F.col("fda_date").desc_nulls_last(), version.desc_nulls_last(), F.col("primaryid").desc_nulls_last())
-    return t.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+    order = F.struct(F.col("fda_date"), version.alias("v"), F.col("primaryid"))  # nulls of a struct's fields compare lowest
+    last = t.groupBy("caseid").agg(F.max_by(F.struct(*(c for c in t.columns if c != "caseid")), order).alias("_last"))
+    return last.select(*(F.col(c) if c == "caseid" else F.col(f"_last.`{c}`").alias(c) for c in t.columns))
 
 
 def analysis_key(normalized: Column, raw: Column) -> Column:
@@ -65,6 +67,9 @@ def serious_cases(outcomes: DataFrame | None, latest: DataFrame) -> DataFrame:
     return outcomes.select(F.col("primaryid").cast("string").alias("primaryid")).distinct()
 
 
-def case_tables(silver: dict[str, DataFrame], roles: tuple[str, ...] | None = SUSPECT_ROLES, dimension: DataFrame | None = None) -> CaseTables:
-    latest = latest_cases(silver["reports"], silver.get("deleted_cases"))
-    return CaseTables(latest, case_drugs(silver["drugs"], latest, roles, dimension), case_reactions(silver["reactions"], latest), serious_cases(silver.get("outcomes"), latest))
+def case_tables(silver: dict[str, DataFrame], roles: tuple[str, ...] | None = SUSPECT_ROLES, dimension: DataFrame | None = None, keep: bool = False) -> CaseTables:
+    """keep: the tables are written and read again, for plans that use them more than once."""
+    hold = stored if keep else lambda t, name: t
+    latest = hold(latest_cases(silver["reports"], silver.get("deleted_cases")).select("primaryid", "caseid", "fda_date", "faers_quarter"), "latest")
+    drugs, reactions = case_drugs(silver["drugs"], latest, roles, dimension), case_reactions(silver["reactions"], latest)
+    return CaseTables(latest, hold(drugs, "case_drug"), hold(reactions, "case_reaction"), serious_cases(silver.get("outcomes"), latest))

@@ -20,18 +20,53 @@ def merged_sections(labels: DataFrame) -> DataFrame:
     return t.groupBy("drug", "section").agg(F.array_join(parts, " ").alias("text")).withColumn("rank", rank)
 
 
+def _needles(events: DataFrame) -> DataFrame:
+    """(event, variant, needle, needles, exact): what must stand inside the tokens of a text
+    for a variant of the event to be named: all of its words over three letters; where it has
+    none, its pieces between blanks, and, if these are several, the variant as it stands."""
+    v = events.select(EVENT, F.explode(text.variants(F.col(EVENT))).alias("variant"))
+    words = F.filter(F.regexp_extract_all("variant", F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 3)
+    pieces = F.filter(F.split("variant", r"\s+"), lambda w: w != "")
+    v = v.select(EVENT, "variant", F.array_distinct(words).alias("words"), pieces.alias("pieces"))
+    all_of = F.when(F.size("words") > 0, F.col("words")).otherwise(F.array_distinct("pieces"))
+    v = v.withColumns({"all_of": all_of, "exact": (F.size("words") == 0) & (F.size("pieces") > 1)})
+    return v.select(EVENT, "variant", F.explode("all_of").alias("needle"), F.size("all_of").alias("needles"), "exact")
+
+
+def _holding(tokens: DataFrame, needles: DataFrame) -> DataFrame:
+    """(token, needle) where the needle is a part of the token: parts of the needles' lengths
+    meet the needles by equality, so no token is tried against every needle."""
+    lengths = needles.agg(F.sort_array(F.collect_set(F.length("needle"))).alias("lengths"))  # one row: distinct lengths
+    t = tokens.crossJoin(F.broadcast(lengths))
+    parts = F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("token")), lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring(F.col("token"), i, n))))
+    t = t.select("token", F.explode(F.array_distinct(parts)).alias("part"))
+    return t.join(needles.select("needle").distinct(), F.col("part") == F.col("needle")).select("token", "needle")
+
+
 def label_flags(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """(drug, event, labeled_event, label_section, label_found, label_status, novel_flag).
 
     pairs: distinct (drug, event); labels: (drug, section, text). The most severe section
     that names the event counts. Names compare without case. An item without any label has
     an unknown status and is never novel.
+
+    Texts become their distinct tokens, and needles of the events are looked up in the
+    distinct tokens of all texts once: no text is read for each event. Only variants of
+    several short pieces are looked for in the texts again.
     """
-    sections = merged_sections(labels).select(F.upper("drug").alias("d"), "section", "rank", "text")
+    sections = merged_sections(labels).select(F.upper("drug").alias("d"), "section", "rank", "text").groupBy("d", "section").agg(F.min("rank").alias("rank"), F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
     found = labels.select(F.upper("drug").alias("d")).distinct().withColumn("label_found", F.lit(True))
     p = pairs.select(DRUG, EVENT).distinct().withColumn("d", F.upper(DRUG))
-    hits = p.join(sections, "d").filter(text.event_in_section(F.col("text"), F.col(EVENT))).groupBy(DRUG, EVENT).agg(F.min_by("section", "rank").alias("label_section"))
-    t = p.join(found, "d", "left").join(hits, [DRUG, EVENT], "left")
+    needles = _needles(p.select(EVENT).distinct())
+    tokens = sections.select("d", "section", F.explode(F.array_distinct(F.filter(F.split("text", r"\s+"), lambda x: x != ""))).alias("token"))
+    holding = _holding(tokens.select("token").distinct(), needles)
+    held = tokens.join(holding, "token").select("d", "section", "needle").distinct()
+    named = held.join(needles, "needle").groupBy("d", "section", EVENT, "variant", "needles", "exact").agg(F.count("*").alias("n")).filter("n = needles")
+    sure = named.filter("not exact").select("d", "section", EVENT)
+    maybe = named.filter("exact").join(sections, ["d", "section"]).filter(F.contains("text", F.col("variant"))).select("d", "section", EVENT)
+    ranks = sections.select("d", "section", "rank")
+    best = sure.unionByName(maybe).join(ranks, ["d", "section"]).groupBy("d", EVENT).agg(F.min_by("section", "rank").alias("label_section"))
+    t = p.join(found, "d", "left").join(best, ["d", EVENT], "left")
     known, labeled = F.coalesce("label_found", F.lit(False)), F.col("label_section").isNotNull()
     status = F.when(~known, "unknown").when(labeled, "labeled").otherwise("novel")
     return t.select(DRUG, EVENT, labeled.alias("labeled_event"), "label_section", known.alias("label_found"), status.alias("label_status"), (known & ~labeled).alias("novel_flag"))

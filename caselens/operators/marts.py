@@ -29,18 +29,24 @@ def summary_stats(scores: DataFrame) -> DataFrame:
     return scores.agg(*parts)
 
 
-def ror_deciles(scores: DataFrame, ranges: int = 64) -> DataFrame:
+def ror_deciles(scores: DataFrame, rows: int = 200_000) -> DataFrame:
     """scores with `decile`, 1..10, by rank of the reporting odds ratio, nulls lowest, ties by
-    name. Rows are numbered within ranges of the ratio, whose sizes are summed before them,
-    so no task sorts all rows."""
+    name. Rows are numbered within ranges of the ratio of about `rows`, and those of one ratio
+    within parts by name, whose sizes are summed before them, so no task sorts all rows."""
     t = scores.withColumn("_x", F.coalesce("ror", F.lit(float("-inf"))))
-    cuts = sorted(set(scores.stat.approxQuantile("ror", [i / ranges for i in range(1, ranges)], 0.002)))
-    edges = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<double>")
+    ranges = max(2, -(-scores.count() // rows))
+    cuts = sorted(set(scores.stat.approxQuantile("ror", [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
+    names = sorted(set(scores.select(F.coalesce(F.substring(DRUG, 1, 2), F.lit("")).alias("k")).distinct().orderBy("k").limit(4096).toPandas()["k"]))  # bounded: beyond it names share a part
+    edges = F.array(*(F.lit(c) for c in cuts)).cast("array<double>")
+    starts = F.array(*(F.lit(k) for k in names)).cast("array<string>")
     t = t.withColumn("_range", F.size(F.filter(edges, lambda c: c < F.col("_x"))))
-    sizes = t.groupBy(F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))  # a row for each range
-    before = sizes.select("_of", (F.sum("_n").over(Window.orderBy("_of")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    t = t.withColumn("_rank", F.row_number().over(Window.partitionBy("_range").orderBy("_x", DRUG, EVENT)) - 1)
-    t = t.join(F.broadcast(before), F.col("_range") == F.col("_of")).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    at_cut = F.array_contains(edges, F.col("_x"))
+    # within a range rows of its upper cut come last, by parts of their names
+    t = t.withColumn("_part", F.when(at_cut, F.size(F.filter(starts, lambda k: k <= F.coalesce(F.substring(DRUG, 1, 2), F.lit("")))) + 1).otherwise(0))
+    sizes = t.groupBy(F.col("_range").alias("_of"), F.col("_part").alias("_in")).agg(F.count("*").alias("_n"))  # a row for each part
+    before = sizes.select("_of", "_in", (F.sum("_n").over(Window.orderBy("_of", "_in")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    t = t.withColumn("_rank", F.row_number().over(Window.partitionBy("_range", "_part").orderBy("_x", DRUG, EVENT)) - 1)
+    t = t.join(before, (F.col("_range") == F.col("_of")) & (F.col("_part") == F.col("_in"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
     size, more = F.expr("_all div 10"), F.expr("_all % 10")
     decile = F.when(F.col("_rank") < (size + 1) * more, F.expr("_rank div (_all div 10 + 1)")).otherwise(F.expr("(_rank - _all % 10) div greatest(_all div 10, 1)")) + 1
     return t.withColumn("decile", decile.cast("int")).select(*scores.columns, "decile")
@@ -50,23 +56,27 @@ def scatter_sample(scores: DataFrame, n: int = 3000, seed: int = 17) -> DataFram
     """n rows, alike many from each decile of the reporting odds ratio, topped up from the
     rest; all rows where there are no more than n. Order and choice follow a hash.
 
-    Deciles come from quantiles, so that no task sorts the whole matrix; each decile's
-    first rows are a top-k.
+    scores: a mart; it is read three times. Deciles come from quantiles, so that no task
+    sorts the whole matrix. Only rows whose hash is low can be chosen: how low is set by
+    counts, so that every decile keeps all it can give, and a task ranks a few times n rows.
     """
     lot = F.xxhash64(F.lit(seed), DRUG, EVENT)
     cuts = scores.stat.approxQuantile("ror", [i / 10 for i in range(1, 10)], 0.001)
     decile = F.lit(0)
     for c in cuts:
         decile = decile + F.coalesce((F.col("ror") > c).cast("int"), F.lit(0))
-    t = scores.withColumn("_lot", lot).withColumn("_decile", decile)
-    parts = None
-    for k in range(10):
-        part = t.filter(F.col("_decile") == k).orderBy("_lot", DRUG, EVENT).limit(n // 10)
-        parts = part if parts is None else parts.unionByName(part)
-    chosen = parts.withColumn("_turn", F.lit(0))
-    rest = t.join(F.broadcast(parts.select(DRUG, EVENT)), [DRUG, EVENT], "left_anti").orderBy("_lot", DRUG, EVENT).limit(n).withColumn("_turn", F.lit(1))  # n keys at most
+    t = scores.withColumns({"_lot": lot, "_decile": decile})
+    width = 64  # ranges of the hash, as its highest bits
+    t = t.withColumn("_low", F.shiftright(F.col("_lot"), 58) + width // 2)
+    counts = [[0] * width for _ in range(10)]
+    for r in t.groupBy("_decile", "_low").count().collect():  # 640 rows at most
+        counts[r["_decile"]][r["_low"]] = r["count"]
+    enough = n + n // 10
+    least = next((k for k in range(width) if all(sum(c[: k + 1]) >= min(enough, sum(c)) for c in counts)), width - 1)
+    rank = F.row_number().over(Window.partitionBy("_decile").orderBy("_lot", DRUG, EVENT))
+    t = t.filter(F.col("_low") <= least).withColumn("_turn", (rank > n // 10).cast("int"))
     final = F.xxhash64(F.lit(seed + 1), DRUG, EVENT)
-    return chosen.unionByName(rest).orderBy("_turn", "_lot", DRUG, EVENT).limit(n).orderBy(final, DRUG, EVENT).select(*scores.columns)
+    return t.orderBy("_turn", "_lot", DRUG, EVENT).limit(n).orderBy(final, DRUG, EVENT).select(*scores.columns)
 
 
 REQUIRED = (DRUG, EVENT, "a_drug_event", "ror", "prr")
@@ -120,3 +130,20 @@ def pipeline_health(spark: SparkSession, checks: DataFrame, source: str, period:
 
 def value_counts(t: DataFrame, column: str) -> DataFrame:
     return t.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def label_shares(flags: DataFrame) -> DataFrame:
+    """(label_status, signals, percent)."""
+    n = flags.groupBy("label_status").agg(F.count("*").alias("signals"))
+    total = n.agg(F.sum("signals").alias("total"))  # one row
+    return n.crossJoin(F.broadcast(total)).select("label_status", "signals", (100 * F.col("signals") / F.col("total")).alias("percent"))
+
+
+def emerging_headline(emerging: DataFrame) -> DataFrame:
+    """(signals, high, top_mover, top_change): the pair whose count changed most."""
+    pair = F.struct(F.coalesce("percent_change", F.lit(-1e9)), DRUG, EVENT)
+    return emerging.agg(F.count("*").alias("signals"), F.count_if(F.col("priority_level") == "High").alias("high"), F.max_by(F.concat_ws(" — ", DRUG, EVENT), pair).alias("top_mover"), F.max("percent_change").alias("top_change"))
+
+
+def mean_relevance(evidence: DataFrame) -> DataFrame:
+    return evidence.agg(F.avg("relevance_score").alias("mean_relevance"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from caselens.config import Thresholds
 from caselens.functions import bayes, stats
 from caselens.operators.cases import CaseTables
+from caselens.session import stored
 
 PAIR_COLUMNS = ("drug", "event", "a", "serious_a", "drug_total", "event_total", "n")
 KEYS = ["drug_name_normalized", "adverse_event"]
@@ -74,10 +75,12 @@ def score_pairs(pairs: DataFrame, thresholds: Thresholds = Thresholds(), ebgm: b
         stats.needs_correction(*abcd).alias("continuity_correction"),
     )
     t = t.withColumn("disproportionality_flag", stats.is_signal(F.col("a_drug_event"), F.col("ror_ci_lower"), F.col("prr"), F.col("chi_square"), thresholds))
-    return with_ebgm(t) if ebgm else t
+    return with_ebgm(stored(t, "matrix")) if ebgm else t
 
 
 def with_ebgm(scores: DataFrame) -> DataFrame:
+    """scores, a written table as it is read three times, with empirical-Bayes columns fitted
+    over it; nulls where it is empty."""
     if scores.isEmpty():
         return scores.withColumns({c: F.lit(None).cast("double") for c in ("ebgm", "eb05", "eb95")})
     theta = bayes.fit_sample(scores, KEYS, "a_drug_event", "expected_count")

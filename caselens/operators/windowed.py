@@ -28,3 +28,10 @@ def windowed_scores(silver: dict[str, DataFrame], start: str, end: str, domain:
 def event_counts(scores: DataFrame) -> DataFrame:
     """The counts alone, under the names of the count mart."""
     return scores.select("drug_name_normalized", "drug_class", "adverse_event", "scoring_window_start", "scoring_window_end", F.col("a_drug_event").alias("report_count"), "serious_count", F.col("a_drug_event").alias("distinct_case_count"))
+
+
+def term_counts(t: cases.CaseTables, names: list[str], most: int = 100) -> DataFrame:
+    """(event, reports): the most reported events among cases that name an item by any of the
+    names, ties by name."""
+    some = t.case_drug.filter(clauses.is_one_of(F.col("drug"), names)).select("primaryid").distinct()
+    return t.case_reaction.join(some, "primaryid", "left_semi").groupBy("event").agg(F.count("*").alias("reports")).orderBy(F.desc("reports"), "event").limit(most)

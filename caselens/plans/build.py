@@ -44,7 +44,7 @@ def build_gold(spark: SparkSession, silver: dict[str, DataFrame], gold: Gold, di
     """All marts of the matrix. The matrix is written first; the others read what is written,
     so nothing is computed twice and none of it comes to the driver."""
     began = time.time()
-    t = cases.case_tables(silver, roles, dimension)
+    t = cases.case_tables(silver, roles, dimension, keep=True)
     gold.write(pairs.score_pairs(pairs.pair_table(t), thresholds), "signal_scores")
     scores = gold.read("signal_scores")
     gold.write(marts.scatter_sample(scores), "signal_scores_sample", 1)
@@ -79,7 +79,7 @@ def enrich_gold(
     """The marts that stand on the matrix, in order: label flags (folded into the matrix),
     subgroups, interactions, literature and the enriched priorities. Marts whose input is
     not given are left out; enrichment then counts them as absent. Returns those written."""
-    t = cases.case_tables(silver, roles, dimension)
+    t = cases.case_tables(silver, roles, dimension, keep=True)
     scores, written = gold.read("signal_scores"), []
 
     def put(table: DataFrame, name: str) -> DataFrame:

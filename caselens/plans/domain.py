@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from caselens.config import Thresholds
 from caselens.functions import dates
 from caselens.operators import cases, pairs
+from caselens.session import once
 
 ROLES = {"A": "PS", "R": "SS", "N": "C"}
 SERIOUS = ("1-URGENT", "2-HIGH")
@@ -55,12 +56,26 @@ def silver(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"reports": reports(spark, sf_dir), "drugs": drugs(spark, sf_dir), "reactions": reactions(spark, sf_dir), "outcomes": outcomes(spark, sf_dir)}
 
 
+#: The tables that the matrix is made from.
+INPUTS = ("orders", "lineitem", "part", "supplier", "nation")
+
+
 def cases_of(spark: SparkSession, sf_dir: str, **more) -> cases.CaseTables:
-    return cases.case_tables(silver(spark, sf_dir), **more)
+    """Case tables as plans; those without options read the kept ones."""
+    if more:
+        return cases.case_tables(silver(spark, sf_dir), **more)
+    kept = lambda name, t: once(spark, name, tuple(f"{sf_dir}/{x}.parquet" for x in INPUTS), t)
+    s = silver(spark, sf_dir)
+    latest = kept("latest", lambda: cases.case_tables(s).latest)
+    drugs = kept("case_drug", lambda: cases.case_drugs(s["drugs"], latest))
+    reactions = kept("case_reaction", lambda: cases.case_reactions(s["reactions"], latest))
+    return cases.CaseTables(latest, drugs, reactions, cases.serious_cases(s["outcomes"], latest))
 
 
 def scores(spark: SparkSession, sf_dir: str, thresholds: Thresholds = LOOSE, ebgm: bool = False) -> DataFrame:
-    return pairs.score_pairs(pairs.pair_table(cases_of(spark, sf_dir)), thresholds, ebgm)
+    """The matrix as a mart: written by the first query of an application that needs it."""
+    t = once(spark, f"matrix-{abs(hash(thresholds))}", tuple(f"{sf_dir}/{x}.parquet" for x in INPUTS), lambda: pairs.score_pairs(pairs.pair_table(cases_of(spark, sf_dir)), thresholds, ebgm=False))
+    return pairs.with_ebgm(t) if ebgm else t
 
 
 def rounded(t: DataFrame, digits: int = 6) -> DataFrame:
