@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -73,3 +73,54 @@ LABEL_SECTIONS = ("boxed_warning", "contraindications", "warnings_and_cautions",
 
 #: Roles under which an item counts as suspect. Fixed values.
 SUSPECT_ROLES = ("PS", "SS", "I")
+
+
+# -- from files ----------------------------------------------------------------------------------
+
+
+def read_yaml(path: str, spark=None) -> dict:
+    """A YAML file of settings; with a session from any of Hadoop's file systems."""
+    import yaml
+
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            return yaml.safe_load(f) or {}
+    return yaml.safe_load("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())) or {}  # one file
+
+
+def _numbers(cls, given: dict):
+    known = {f.name for f in fields(cls)}
+    if unknown := sorted(set(given) - known):
+        raise ValueError(f"unknown settings: {unknown}")
+    return cls(**given)
+
+
+def domain_from(settings: dict) -> Domain:
+    """`drugs`: canonical name -> class and aliases."""
+    return Domain({str(name).lower(): (d.get("class", ""), tuple(str(a).upper() for a in d.get("aliases") or ())) for name, d in (settings.get("drugs") or {}).items()})
+
+
+def thresholds_from(settings: dict) -> Thresholds:
+    return _numbers(Thresholds, settings.get("thresholds") or {})
+
+
+def weights_from(settings: dict) -> Weights:
+    """Weights that do not sum to 1 raise an error."""
+    return _numbers(Weights, settings.get("weights") or {})
+
+
+def quarters_from(settings: dict) -> list[tuple[int, int]]:
+    """`quarters`: labels and ranges like 2012q4..2013q2, each quarter once, sorted."""
+    from caselens.functions.dates import expand_quarters
+
+    return expand_quarters([str(q) for q in settings.get("quarters") or ()])
+
+
+def survey_columns_from(settings: dict) -> dict[str, str]:
+    """`survey`: what a column means -> its name in the survey's files."""
+    return {str(k): str(v) for k, v in (settings.get("survey") or {}).items()}
+
+
+def literature_terms_from(settings: dict) -> tuple[str, ...]:
+    """`literature_terms`: what marks an adverse context; the fixed terms where none are given."""
+    return tuple(str(t).lower() for t in settings.get("literature_terms") or ADVERSE_TERMS)

@@ -86,16 +86,31 @@ def safe_ratio(x: Column, y: Column) -> Column:
 
 
 def poisson_tail(k: Column, rate: Column) -> Column:
-    """P(X >= k) for a Poisson mean, its terms summed as logarithms so that large means do
-    not underflow; 1 for k <= 0, else 0 for a mean of 0 or below."""
-    log_rate = F.log(F.when(rate > 0, rate))
-    below = F.aggregate(
-        F.when(k > 1, F.sequence(F.lit(1).cast("long"), k.cast("long") - 1)).otherwise(F.array().cast("array<bigint>")),
-        F.struct((-rate).alias("term"), F.exp(-rate).alias("total")),
-        lambda s, i: F.struct((s["term"] + log_rate - F.log(i.cast("double"))).alias("term"), (s["total"] + F.exp(s["term"] + log_rate - F.log(i.cast("double")))).alias("total")),
-        lambda s: s["total"],
-    )
-    return F.when(k <= 0, 1.0).when(rate <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - below)))
+    """P(X >= k) for a Poisson mean; 1 for k <= 0, else 0 for a mean of 0 or below.
+
+    Terms are summed as logarithms, so that large means do not underflow: of k.. upwards
+    where k is above the mean, else of k - 1 downwards. Both fall at least as fast as a
+    normal density's tail, so their number follows the root of k.
+    """
+    mean = F.when(rate > 0, rate.cast("double"))
+    above = k > mean
+    start = F.when(above, k.cast("double")).otherwise(k.cast("double") - 1)
+    enough = (40 + 9 * F.sqrt(F.greatest(k, F.lit(1)).cast("double"))).cast("int")
+    steps = F.sequence(F.lit(1), F.when(above, enough).otherwise(F.least(enough, F.greatest(k.cast("int") - 1, F.lit(1)))))
+    first = start * F.log(mean) - mean - lgamma(start + 1)
+    up = F.aggregate(steps, F.struct(first.alias("term"), F.exp(first).alias("total")), lambda s, i: F.struct((s["term"] + F.log(mean) - F.log(start + i)).alias("term"), (s["total"] + F.exp(s["term"] + F.log(mean) - F.log(start + i))).alias("total")), lambda s: s["total"])
+    # downwards: term of j - 1 from that of j
+    down = F.aggregate(steps, F.struct(first.alias("term"), F.exp(first).alias("total")), lambda s, i: F.struct((s["term"] + F.log(start - i + 1) - F.log(mean)).alias("term"), (s["total"] + F.when(start - i >= 0, F.exp(s["term"] + F.log(start - i + 1) - F.log(mean))).otherwise(0.0)).alias("total")), lambda s: s["total"])
+    tail = F.when(above, up).otherwise(1 - down)  # only one of them is worked out
+    return F.when(k <= 0, 1.0).when(rate <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
+
+
+def lgamma(x: Column) -> Column:
+    """Stirling's series ten steps further on, and back by the recurrence; x over 0."""
+    z = x + 10
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0)))
+    steps = sum((F.log(x + i) for i in range(1, 10)), F.log(x))
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + series - steps
 
 
 def ewma(series: Column, alpha: float = 0.5) -> Column:

@@ -64,12 +64,45 @@ def signals(gold: Gold, **kw) -> dict:
     return {"total": total.first()[0], "offset": offset, "limit": limit, "rows": [r.asDict() for r in page.collect()]}  # a page at most
 
 
-def emerging(mart: DataFrame, priority: str | None = None, limit: int | None = None) -> DataFrame:
-    t = mart.filter(same("priority_level", priority)) if priority else mart
+def emerging(mart: DataFrame, priority: str | list[str] | None = None, limit: int | None = None, least_change: float | None = None) -> DataFrame:
+    """By priority; of some levels, and of changes of at least so many percent, where given. A
+    pair without a baseline counts as a change of -999 percent."""
+    t = mart
+    if priority:
+        levels = [priority] if isinstance(priority, str) else priority
+        t = t.filter(F.upper("priority_level").isin(*(x.upper() for x in levels)))
+    if least_change is not None:
+        t = t.filter(F.coalesce(F.nanvl(F.col("percent_change") * 100, F.lit(None).cast("double")), F.lit(-999.0)) >= least_change)
     t = t.orderBy(F.desc("priority_score"), DRUG, EVENT)
     return t.limit(limit) if limit else t
 
 
+def explored(scores: DataFrame, *, drugs: list[str] | None = None, drug_class: str | None = None, event_part: str | None = None, min_reports: int | None = None, flagged_only: bool = False, label_statuses: list[str] | None = None) -> DataFrame:
+    """The explorer's filters, those that are given, all without case."""
+    t = filtered(scores, drug_class=drug_class, flagged_only=flagged_only, min_reports=min_reports)
+    if drugs:
+        t = t.filter(F.upper(DRUG).isin(*(x.upper() for x in drugs)))
+    if event_part:
+        t = t.filter(F.contains(F.lower(EVENT), F.lit(event_part.lower())))
+    if label_statuses and "label_status" in t.columns:
+        t = t.filter(F.lower("label_status").isin(*(x.lower() for x in label_statuses)))
+    return t
+
+
+def strong_interactions(mart: DataFrame, min_reports: int = 0, flagged_only: bool = False) -> DataFrame:
+    t = mart.filter(F.col("pair_event_reports") >= min_reports)
+    return t.filter("interaction_flag") if flagged_only else t
+
+
+def ranked_list(scores: DataFrame, label: str, key: str, name: str, most: int, by: str = "a_drug_event") -> DataFrame:
+    """(list, name, rank, entry, value): an item's first events by a score, or an event's items."""
+    from pyspark.sql.window import Window
+
+    other = EVENT if key == DRUG else DRUG
+    top = scores.filter(same(key, name)).orderBy(F.desc(by), other).limit(most)  # the list's length
+    return top.select(F.lit(label).alias("list"), F.col(key).alias("name"), F.row_number().over(Window.orderBy(F.desc(by), other)).alias("rank"), F.col(other).alias("entry"), F.col(by).cast("double").alias("value"))
+
+
 def optional_table(gold: Gold, name: str, drug: str | None = None) -> DataFrame | None:
     """A mart, for one item where given: interactions match either of their items."""
     if not gold.exists(name):
@@ -128,10 +161,12 @@ def dashboard_summary(gold: Gold) -> dict:
 
 
 def health(gold: Gold) -> DataFrame | None:
-    """(mart, rows) of every mart there is."""
+    """(mart, rows, source, status) of every mart there is: where it comes from, and whether
+    its run's checks passed; unknown where no run is recorded."""
+    last = gold.read("pipeline_health").first() if gold.exists("pipeline_health") else None
     out = None
     for name in gold.names():
-        t = gold.read(name).agg(F.lit(name).alias("mart"), F.count("*").alias("rows"))
+        t = gold.read(name).agg(F.lit(name).alias("mart"), F.count("*").alias("rows"), F.lit(gold.provenance(name)).alias("source"), F.lit(last["status"] if last else "unknown").alias("status"))
         out = t if out is None else out.unionByName(t)
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +32,6 @@ def query(sql: str | None = None):
     return add
 
 
-def whole_sql(name: str, *cuts: tuple[str, str]) -> str:
-    """The SQL of a query over part of a table, without the cuts: (what stands there, what
-    stands there instead). The query's own SQL stays as it is."""
-    sql = ORACLE_SQL[name]
-    for cut, instead in cuts:
-        assert cut in sql, cut
-        sql = sql.replace(cut, instead)
-    return sql
-
-
 # -- SQL that the oracles share ----------------------------------------------------------------
 
 CASES = """
@@ -213,9 +204,72 @@ def ebgm_scores(spark, d):
     return rounded(domain.scores(spark, d, ebgm=True).select(DRUG, EVENT, "a_drug_event", "expected_count", "ebgm", "eb05", "eb95"), 4)
 
 
+#: Mixture parameters for which the posterior can be checked. Fixed values of the checks.
+THETA = (0.5, 0.8, 3.0, 2.0, 0.4)
+
+
+def _digamma_sql(x: str) -> str:
+    z = f"({x} + 10)"
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} * {z}) + 1 / (120 * pow({z}, 4)) - 1 / (252 * pow({z}, 6)) + 1 / (240 * pow({z}, 8)) - " + " - ".join(f"1 / ({x} + {i})" for i in range(10)) + ")"
+
+
+def _below_sql(a: str, x: str) -> str:
+    """The regularised lower incomplete gamma function by its power series."""
+    return f"(CASE WHEN {x} <= 0 THEN 0 ELSE list_sum(list_transform(range(0, (2 * {x} + 8 * sqrt({x}) + 80)::BIGINT), lambda k: exp(({a} + k) * ln({x}) - {x} - lgamma({a} + k + 1.0::DOUBLE)))) END)"
+
+
+def _posterior_sql() -> str:
+    a1, b1, a2, b2, p = THETA
+    log_pmf = lambda a, b: f"(lgamma({a}::DOUBLE + n) - lgamma({a}::DOUBLE) - lgamma(n + 1.0::DOUBLE) + {a}::DOUBLE * ln({b}::DOUBLE / ({b}::DOUBLE + e)) + n * ln(e / ({b}::DOUBLE + e)))"
+    return f"""
+po0 AS (SELECT drug_name_normalized AS d, adverse_event AS v, a_drug_event::DOUBLE AS n, greatest(expected_count, 1e-9::DOUBLE) AS e FROM scored),
+po1 AS (SELECT *, ln({p}::DOUBLE) + {log_pmf(a1, b1)} AS f1, ln({1 - p}::DOUBLE) + {log_pmf(a2, b2)} AS f2 FROM po0),
+po AS (SELECT d, v, n, e, 1 / (1 + exp(f2 - f1)) AS w, {a1}::DOUBLE + n AS g1, {b1}::DOUBLE + e AS h1, {a2}::DOUBLE + n AS g2, {b2}::DOUBLE + e AS h2 FROM po1)"""
+
+
+_BELOW = f"(w * {_below_sql('g1', '(q * h1)')} + (1 - w) * {_below_sql('g2', '(q * h2)')})"
+
+
+@query(f"""WITH {MATRIX}, {_posterior_sql()} SELECT d AS drug_name_normalized, v AS adverse_event, round(w, 6) AS weight,
+  round(exp(w * ({_digamma_sql('g1')} - ln(h1)) + (1 - w) * ({_digamma_sql('g2')} - ln(h2))), 6) AS ebgm FROM po""")
+def ebgm_fixed(spark, d):
+    """The posterior's geometric mean under given parameters."""
+    s = domain.scores(spark, d)
+    return rounded(s.withColumn("x", bayes.score_columns(F.col("a_drug_event"), F.col("expected_count"), THETA)).select(DRUG, EVENT, F.col("x.weight").alias("weight"), F.col("x.ebgm").alias("ebgm")))
+
+
+@query(f"""WITH RECURSIVE {MATRIX}, {_posterior_sql()},
+lvl AS (SELECT * FROM (VALUES (0.05::DOUBLE), (0.95::DOUBLE)) t(level)),
+step(d, v, level, w, g1, h1, g2, h2, low, high, q, i) AS (
+  SELECT d, v, level, w, g1, h1, g2, h2, 0::DOUBLE, 10 * greatest(g1 / h1, g2 / h2) + 10, 5 * greatest(g1 / h1, g2 / h2) + 5, 0 FROM po, lvl
+  UNION ALL
+  SELECT d, v, level, w, g1, h1, g2, h2, low2, high2, (low2 + high2) / 2, i + 1 FROM (
+    SELECT *, CASE WHEN b < level THEN q ELSE low END AS low2, CASE WHEN b < level THEN high ELSE q END AS high2 FROM (SELECT *, {_BELOW} AS b FROM step WHERE i < 34)))
+SELECT d AS drug_name_normalized, v AS adverse_event, round(max(q) FILTER (level = 0.05), 4) AS eb05, round(max(q) FILTER (level = 0.95), 4) AS eb95 FROM step WHERE i = 34 GROUP BY 1, 2""")
+def ebgm_quantiles(spark, d):
+    """The posterior's quantiles under given parameters; SQL bisects the same equation."""
+    s = domain.scores(spark, d)
+    return rounded(s.withColumn("x", bayes.score_columns(F.col("a_drug_event"), F.col("expected_count"), THETA)).select(DRUG, EVENT, F.col("x.eb05").alias("eb05"), F.col("x.eb95").alias("eb95")), 4)
+
+
+@query(f"""WITH {MATRIX}, {_posterior_sql()} SELECT d AS drug_name_normalized, v AS adverse_event, 1 AS one FROM po
+  ORDER BY round(exp(w * ({_digamma_sql('g1')} - ln(h1)) + (1 - w) * ({_digamma_sql('g2')} - ln(h2))), 6) DESC, d, v LIMIT 200""")
+def top_by_shrunken_ratio(spark, d):
+    """The trend's top pairs where a Bayes column is there to choose by."""
+    s = domain.scores(spark, d)
+    s = s.withColumn("ebgm", F.round(bayes.score_columns(F.col("a_drug_event"), F.col("expected_count"), THETA)["ebgm"], 6))
+    return trend.top_pairs(s, 200, "ebgm").select(F.col("drug").alias(DRUG), F.col("event").alias(EVENT), F.lit(1).alias("one"))
+
+
+@query(f"""WITH {CASES} SELECT event, count(DISTINCT cr.pid)::BIGINT AS reports FROM cr JOIN (SELECT DISTINCT pid FROM cd WHERE drug IN ('Brand#11', 'Brand#22')) x ON x.pid = cr.pid GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def term_counts(spark, d):
+    """The most reported events among the reports of an item by any of its spellings."""
+    return windowed.term_counts(domain.cases_of(spark, d), ["BRAND#11", "brand#22"], 10)
+
+
 # -- trend and priority ----------------------------------------------------------------------------
 
-TOP = 20
+TOP = 200
 TREND = (
     MATRIX
     + f""",
@@ -239,8 +293,7 @@ anom AS (SELECT *, CASE WHEN mean <> 0 THEN (report_count - mean) / mean END AS
 
 def _trend(spark, d):
     """The trend of the top pairs by odds ratio, in every quarter of the reports."""
-    t = domain.cases_of(spark, d)
-    s = pairs.score_pairs(pairs.pair_table(t), LOOSE, ebgm=False)
+    t, s = domain.cases_of(spark, d), domain.scores(spark, d)
     keys = trend.top_pairs(s, TOP)
     calendar = t.latest.select(F.col("faers_quarter").alias("quarter")).distinct()
     return trend.quarterly_trend(t, keys), s, calendar
@@ -307,6 +360,19 @@ def emerging_signals(spark, d):
     return rounded(_emerging(spark, d)[0].select(DRUG, "drug_class", EVENT, "current_quarter", "current_count", "trailing_baseline_count", "percent_change", "anomaly_score", "poisson_anomaly_score", "seriousness_rate", "priority_score"))
 
 
+@query(f"""WITH {EMERGING}, x AS (SELECT *, round(score, 4) AS ps, CASE WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Moderate' ELSE 'Low' END AS level FROM emerging)
+  SELECT drug_name_normalized, adverse_event, ps AS priority_score, level AS priority_level FROM x WHERE level IN ('High', 'Low') AND coalesce(percent_change * 100, -999) >= -20""")
+def emerging_filtered(spark, d):
+    """Emerging signals of some levels whose change is at least so many percent."""
+    return rounded(serving.emerging(_emerging(spark, d)[0], ["high", "LOW"], least_change=-20.0).select(DRUG, EVENT, "priority_score", "priority_level"))
+
+
+@query(f"""WITH {EMERGING}, x AS (SELECT *, round(score, 4) AS ps FROM emerging)
+  SELECT count(*)::BIGINT AS signals, count(*) FILTER (score >= 0.75)::BIGINT AS high, arg_max(drug_name_normalized || ' — ' || adverse_event, (coalesce(percent_change, -1e9::DOUBLE), drug_name_normalized, adverse_event)) AS top_mover, round(max(percent_change), 6) AS top_change FROM x""")
+def emerging_headline(spark, d):
+    return rounded(marts.emerging_headline(_emerging(spark, d)[0]))
+
+
 @query(f"""WITH {MATRIX}, p AS (SELECT *, 0.30::DOUBLE * least(1::DOUBLE, greatest(0::DOUBLE, bayesian_shrunken_score / 3)) + 0.25::DOUBLE * least(1::DOUBLE, greatest(0::DOUBLE, ror - 0.5))
     + 0.20::DOUBLE * seriousness_rate + 0.15::DOUBLE + 0.10::DOUBLE * 0.6::DOUBLE AS score FROM scored)
   SELECT drug_name_normalized, adverse_event, round(score, 6) AS priority_score, CASE WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Moderate' ELSE 'Low' END AS priority_level FROM p""")
@@ -317,7 +383,7 @@ def priority_scores(spark, d):
 
 
 @query(f"""WITH {EMERGING},
-lit AS (SELECT drug_name_normalized AS d, adverse_event AS e, a_drug_event AS n, round(seriousness_rate, 3) AS s FROM scored WHERE a_drug_event % 2 = 0),
+lit AS (SELECT drug_name_normalized AS d, adverse_event AS e, a_drug_event AS n, round(seriousness_rate, 3) AS s FROM scored WHERE disproportionality_flag),
 med AS (SELECT upper(p_brand) AS m, count(*) AS users FROM part WHERE p_size < 20 GROUP BY 1),
 cls AS (SELECT DISTINCT upper(p_type) AS c FROM part WHERE p_size < 20),
 j AS (SELECT e.*, coalesce(n, 0)::BIGINT AS ln, coalesce(s, 0)::DOUBLE AS ls,
@@ -328,7 +394,7 @@ SELECT drug_name_normalized, adverse_event, ln AS literature_support_count, ls A
   round(total, 4) AS priority_score, CASE WHEN total >= 0.75 THEN 'High' WHEN total >= 0.5 THEN 'Moderate' ELSE 'Low' END AS priority_level FROM p""")
 def enriched_priority(spark, d):
     e, s = _emerging(spark, d)
-    support = s.filter("a_drug_event % 2 = 0").select(DRUG, EVENT, F.col("a_drug_event").alias("literature_support_count"), F.round("seriousness_rate", 3).alias("literature_support_score"))
+    support = s.filter("disproportionality_flag").select(DRUG, EVENT, F.col("a_drug_event").alias("literature_support_count"), F.round("seriousness_rate", 3).alias("literature_support_score"))
     people = table(spark, d, "part").filter("p_size < 20").groupBy(F.col("p_brand").alias("medication_name_normalized")).agg(F.count("*").alias("unweighted_sample_count"))
     people = people.withColumn("drug_class", F.lit(None).cast("string")).unionByName(table(spark, d, "part").filter("p_size < 20").select(F.lit(None).cast("string").alias("medication_name_normalized"), F.lit(0).cast("long").alias("unweighted_sample_count"), F.col("p_type").alias("drug_class")).distinct())
     t = enrich.enrich(enrich.enrich(e, s, support, people), s, support, people)  # twice: the second changes nothing
@@ -356,8 +422,7 @@ sj AS (SELECT sa.*, n, dt, et FROM sa JOIN sp ON sp.ty = sa.ty AND sp.sub = sa.s
 
 
 def _subgroups(spark, d):
-    t = domain.cases_of(spark, d)
-    s = pairs.score_pairs(pairs.pair_table(t), LOOSE, ebgm=False)
+    t, s = domain.cases_of(spark, d), domain.scores(spark, d)
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     bands = [F.when(F.col("c_acctbal").between(low, high), F.struct(F.lit("balance").alias("subgroup_type"), F.lit(name).alias("subgroup"))) for name, low, high in (("low", -1000, 2000), ("middle", 2001, 6000), ("high", 6001, 100000))]
     each = F.filter(F.array(F.struct(F.lit("segment").alias("subgroup_type"), F.col("c_mktsegment").alias("subgroup")), *bands), lambda x: x.isNotNull())
@@ -386,7 +451,7 @@ ia AS (SELECT ip.da, ip.db, event, count(*) AS a FROM ip JOIN it ON it.da = ip.d
 ir AS (SELECT *, row_number() OVER (PARTITION BY da, db ORDER BY a DESC, event) AS rn FROM ia),
 ij AS (SELECT ir.da, ir.db, ir.event, ir.a, dt, et, n, sx.ror AS ror_a, sy.ror AS ror_b FROM ir JOIN it ON it.da = ir.da AND it.db = ir.db JOIN em ON em.event = ir.event
        LEFT JOIN scored sx ON sx.drug_name_normalized = ir.da AND sx.adverse_event = ir.event LEFT JOIN scored sy ON sy.drug_name_normalized = ir.db AND sy.adverse_event = ir.event, nn
-       WHERE rn <= 10 AND ir.a >= 2),"""
+       WHERE rn <= 50 AND ir.a >= 2),"""
     + cells_sql("ij", "int_st")
 )
 
@@ -396,9 +461,7 @@ ij AS (SELECT ir.da, ir.db, ir.event, ir.a, dt, et, n, sx.ror AS ror_a, sy.ror A
   round(greatest(ror_a, ror_b), 6) AS single_max_ror, round(ror / greatest(ror_a, ror_b), 6) AS interaction_ratio, ror_a IS NOT NULL OR ror_b IS NOT NULL AS comparable,
   coalesce(lo > 1 AND ror / greatest(ror_a, ror_b) >= 2, false) AS interaction_flag FROM int_st""")
 def interaction_signals(spark, d):
-    t = domain.cases_of(spark, d)
-    s = pairs.score_pairs(pairs.pair_table(t), LOOSE, ebgm=False)
-    return rounded(interactions.interaction_signals(t, s, 5, 10, 2, 2.0))
+    return rounded(interactions.interaction_signals(domain.cases_of(spark, d), domain.scores(spark, d), 5, 50, 2, 2.0))
 
 
 @query(f"""WITH {CASES} SELECT a.drug, b.drug AS co_drug, count(*)::BIGINT AS co_reports FROM cd a JOIN cd b ON a.pid = b.pid AND a.drug <> b.drug GROUP BY 1, 2""")
@@ -475,6 +538,24 @@ def top_events_per_drug(spark, d):
     return serving.top_per_key(domain.scores(spark, d), DRUG, 5).select(DRUG, EVENT, "a_drug_event", "rank")
 
 
+@query(f"""WITH {MATRIX}, l AS (
+  SELECT 'item_events' AS list, 'Brand#11' AS name, row_number() OVER (ORDER BY a_drug_event DESC, adverse_event)::INTEGER AS rank, adverse_event AS entry, a_drug_event::DOUBLE AS value FROM scored WHERE drug_name_normalized = 'Brand#11'
+  UNION ALL SELECT 'item_ratios', 'Brand#11', row_number() OVER (ORDER BY ror DESC, adverse_event)::INTEGER, adverse_event, round(ror, 6) FROM scored WHERE drug_name_normalized = 'Brand#11'
+  UNION ALL SELECT 'event_items', n, row_number() OVER (ORDER BY a_drug_event DESC, drug_name_normalized)::INTEGER, drug_name_normalized, a_drug_event::DOUBLE FROM scored, (SELECT min(adverse_event) AS n FROM scored) WHERE adverse_event = n)
+  SELECT * FROM l WHERE rank <= CASE list WHEN 'item_events' THEN 15 WHEN 'item_ratios' THEN 14 ELSE 12 END""")
+def profile_lists(spark, d):
+    """The ranked lists that profiles show."""
+    s = domain.scores(spark, d)
+    event = s.agg(F.min(EVENT).alias("n")).first()["n"]
+    return rounded(serving.ranked_list(s, "item_events", DRUG, "Brand#11", 15).unionByName(serving.ranked_list(s, "item_ratios", DRUG, "Brand#11", 14, "ror")).unionByName(serving.ranked_list(s, "event_items", EVENT, event, 12)))
+
+
+@query(f"""WITH {MATRIX} SELECT drug_name_normalized, adverse_event FROM scored WHERE drug_name_normalized IN ('Brand#11', 'Brand#22', 'Brand#33') AND contains(lower(adverse_event), 'tion_1') AND a_drug_event >= 5""")
+def explorer_filter(spark, d):
+    """The explorer's filters together: items listed, part of an event's name, least reports."""
+    return serving.explored(domain.scores(spark, d), drugs=["brand#11", "BRAND#22", "Brand#33"], event_part="TION_1", min_reports=5).select(DRUG, EVENT)
+
+
 @query(f"""WITH {MATRIX}, g AS (SELECT d, e FROM (VALUES ('BRAND#11'), ('BRAND#22'), ('NO SUCH')) t(d), (VALUES ('FRANCE'), ('CHINA'), ('NATION_3')) u(e))
   SELECT d AS drug, e AS event, coalesce(a_drug_event, 0)::BIGINT AS reports, round(coalesce(a_drug_event, 0) / (a_drug_event + b_drug_other_events), 6) AS event_share, round(ror, 6) AS ror, round(prr, 6) AS prr
   FROM g LEFT JOIN scored ON upper(drug_name_normalized) = d AND upper(adverse_event) = e""")
@@ -529,10 +610,12 @@ def americanize(spark, d):
     return table(spark, d, "part").select("p_partkey", text.americanize(F.lower(F.concat("p_name", F.lit(" diarrhoea haemorrhage tumour")))).alias("spelled"))
 
 
-@query("SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || ',' || p_type || chr(10) || p_brand || ', ', '[,\\n]'), lambda x: upper(trim(x))), lambda x: x <> '')[1] AS first_term FROM part WHERE p_name NOT LIKE '%,%'")
+@query("""WITH t AS (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || ',' || p_type || chr(10) || p_brand || ', ' || p_type, '[,\\n]'), lambda x: upper(trim(x))), lambda x: x <> '') AS l FROM part)
+SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS terms FROM t""")
 def split_terms(spark, d):
-    t = table(spark, d, "part").filter(~F.contains("p_name", F.lit(",")))
-    return t.select("p_partkey", F.get(text.split_terms(F.concat("p_name", F.lit(","), "p_type", F.lit("\n"), "p_brand", F.lit(", "))), F.lit(0)).alias("first_term"))
+    """All terms of every part; the type stands twice and is one term."""
+    raw = F.concat("p_name", F.lit(","), "p_type", F.lit("\n"), "p_brand", F.lit(", "), "p_type")
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.split_terms(raw), "|").alias("terms"))
 
 
 @query("SELECT p_partkey, substr(sha256(p_name), 1, 16) AS query_hash FROM part")
@@ -542,10 +625,10 @@ def query_hashes(spark, d):
 
 # -- labels and literature -----------------------------------------------------------------------------
 
-#: Label texts and events for matching: documents of one language, by source.
+#: Label texts by source and events, both from all documents.
 LABELS = """
-ev AS (SELECT DISTINCT lower(split_part(text, ' ', 3)) AS event FROM documents WHERE doc_id % 29 = 3 AND lang = 'en' AND regexp_matches(split_part(text, ' ', 3), '^[a-zA-Z]+$')),
-lb AS (SELECT source AS drug, ['boxed_warning', 'warnings', 'adverse_reactions', 'other'][doc_id % 4 + 1] AS section, lower(text) AS text FROM documents WHERE lang = 'en' AND source <> 'src3'),
+ev AS (SELECT DISTINCT lower(split_part(text, ' ', 3)) AS event FROM documents WHERE regexp_matches(split_part(text, ' ', 3), '^[a-zA-Z]+$')),
+lb AS (SELECT source AS drug, ['boxed_warning', 'warnings', 'adverse_reactions', 'other'][doc_id % 4 + 1] AS section, lower(text) AS text FROM documents WHERE source <> 'src3'),
 sec AS (SELECT drug, section, CASE section WHEN 'boxed_warning' THEN 1 WHEN 'warnings' THEN 4 ELSE 5 END AS rank, text FROM lb WHERE section <> 'other'),
 pr AS (SELECT DISTINCT source AS drug, event FROM documents, ev),
 vr AS (SELECT event, unnest(list_distinct([event, replace(replace(replace(event, 'oe', 'e'), 'ae', 'e'), 'our', 'or')])) AS v FROM ev),
@@ -555,14 +638,14 @@ fl AS (SELECT pr.drug, pr.event, best.section IS NOT NULL AS labeled, best.secti
 
 
 def _label_flags(spark, d):
-    """Events of a few English documents against English section texts, as LABELS says."""
+    """Every event of all documents for every source: what is asked for is their product."""
     docs = table(spark, d, "documents")
     word = F.get(F.split("text", " "), F.lit(2))
-    events = docs.filter((F.col("doc_id") % 29 == 3) & (F.col("lang") == "en") & word.rlike("^[a-zA-Z]+$")).select(F.lower(word).alias(EVENT)).distinct()
+    events = docs.filter(word.rlike(r"^[a-zA-Z]+\z")).select(F.lower(word).alias(EVENT)).distinct()
     drugs = docs.select(F.col("source").alias(DRUG)).distinct()
     section = F.get(F.array(F.lit("boxed_warning"), F.lit("warnings"), F.lit("adverse_reactions"), F.lit("other")), (F.col("doc_id") % 4).cast("int"))
-    texts = docs.filter((F.col("lang") == "en") & (F.col("source") != "src3")).select(F.col("source").alias("drug"), section.alias("section"), "text")
-    return labels.label_flags(drugs.crossJoin(F.broadcast(events)), texts)  # a few words
+    texts = docs.filter("source <> 'src3'").select(F.col("source").alias("drug"), section.alias("section"), "text")
+    return labels.label_flags(drugs.crossJoin(events), texts)
 
 
 @query(f"""WITH {LABELS} SELECT drug AS drug_name_normalized, event AS adverse_event, labeled AS labeled_event, section AS label_section, found AS label_found,
@@ -581,31 +664,10 @@ def label_flags_folded(spark, d):
     return labels.fold_flags(labels.fold_flags(s, flags), flags)
 
 
-#: What keeps LABELS to a few events, and to texts of one language.
-LABEL_CUTS = (("doc_id % 29 = 3 AND lang = 'en' AND ", ""), ("lang = 'en' AND source <> 'src3'", "source <> 'src3'"))
-
-
-def _label_flags_all(spark, d):
-    """Every event of all documents for every item: the result is their product."""
-    docs = table(spark, d, "documents")
-    word = F.get(F.split("text", " "), F.lit(2))
-    events = docs.filter(word.rlike(r"^[a-zA-Z]+\z")).select(F.lower(word).alias(EVENT)).distinct()
-    drugs = docs.select(F.col("source").alias(DRUG)).distinct()
-    section = F.get(F.array(F.lit("boxed_warning"), F.lit("warnings"), F.lit("adverse_reactions"), F.lit("other")), (F.col("doc_id") % 4).cast("int"))
-    texts = docs.filter("source <> 'src3'").select(F.col("source").alias("drug"), section.alias("section"), "text")
-    return labels.label_flags(drugs.crossJoin(events), texts)
-
-
-@query(whole_sql("label_match", *LABEL_CUTS))
-def label_match_all(spark, d):
-    return _label_flags_all(spark, d)
-
-
-@query(whole_sql("label_flags_folded", *LABEL_CUTS))
-def label_flags_folded_all(spark, d):
-    flags = stored(_label_flags_all(spark, d), "flags")
-    s = flags.select(DRUG, EVENT).unionByName(flags.select(F.lit("unlisted").alias(DRUG), EVENT).distinct())
-    return labels.fold_flags(labels.fold_flags(s, flags), flags)
+@query(f"""WITH {LABELS}, n AS (SELECT CASE WHEN NOT found THEN 'unknown' WHEN labeled THEN 'labeled' ELSE 'novel' END AS label_status, count(*)::BIGINT AS signals FROM fl GROUP BY 1)
+  SELECT label_status, signals, round(100 * signals / sum(signals) OVER (), 4) AS percent FROM n""")
+def label_shares(spark, d):
+    return rounded(marts.label_shares(_label_flags(spark, d)), 4)
 
 
 @query("""WITH c AS (SELECT source, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 7)::VARCHAR END AS code FROM documents)
@@ -615,8 +677,9 @@ def rxcui_by_key(spark, d):
     return labels.rxcui_by_key(t)
 
 
+#: All documents as articles; a title is a text's first line.
 ARTICLES = """
-ar AS (SELECT doc_id AS pmid, substr(text, 1, 80) AS title, text AS abstract, 2015 + doc_id % 10 AS year FROM documents WHERE lang = 'en'),
+ar AS (SELECT doc_id AS pmid, split_part(text, chr(10), 1) AS title, text AS abstract, 2015 + doc_id % 10 AS year FROM documents),
 names AS (SELECT * FROM (VALUES ('token', 'thing'), ('the', 'and'), ('license', 'version disorder'), ('idiot', 'ing')) t(drug, event)),
 raw AS (SELECT drug, event, pmid, year, lower(title) AS t, lower(title || ' ' || abstract) AS b FROM ar, names),
 hits AS (SELECT *, contains(b, drug) AS md, contains(b, event) AS me, contains(t, drug) AND contains(t, event) AS it,
@@ -624,11 +687,13 @@ hits AS (SELECT *, contains(b, drug) AS md, contains(b, event) AS me, contains(t
 evd AS (SELECT drug, event, pmid, year, md, me, ad, round(least(1.0::DOUBLE, 0.35::DOUBLE * md::INT + 0.35::DOUBLE * me::INT + 0.20::DOUBLE * it::INT + 0.10::DOUBLE * ad::INT), 3) AS rel FROM hits WHERE md AND me)"""
 
 
+def _articles(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("pmid"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("journal"), (2015 + F.col("doc_id") % 10).cast("int").alias("publication_year"))
+
+
 def _evidence(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'")
-    articles = docs.select(F.col("doc_id").alias("pmid"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("journal"), (2015 + F.col("doc_id") % 10).cast("int").alias("publication_year"))
     p = spark.createDataFrame([("token", "thing"), ("the", "and"), ("license", "version disorder"), ("idiot", "ing")], f"{DRUG} string, {EVENT} string")
-    return literature.evidence(p, articles)
+    return literature.evidence(p, _articles(spark, d))
 
 
 @query(f"WITH {ARTICLES} SELECT drug AS drug_name_normalized, event AS adverse_event, pmid, rel AS relevance_score, md AS mentions_drug, me AS mentions_event, ad AS adverse_context FROM evd")
@@ -649,31 +714,15 @@ def evidence_by_year(spark, d):
     return literature.by_year(_evidence(spark, d))
 
 
-#: What keeps ARTICLES to one language, and their titles to a prefix.
-ARTICLE_CUTS = (("substr(text, 1, 80) AS title", "split_part(text, chr(10), 1) AS title"), (" FROM documents WHERE lang = 'en'", " FROM documents"))
-
-
-def _evidence_all(spark, d):
-    """All documents as articles; a title is a text's first line."""
-    docs = table(spark, d, "documents")
-    articles = docs.select(F.col("doc_id").alias("pmid"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("journal"), (2015 + F.col("doc_id") % 10).cast("int").alias("publication_year"))
-    p = spark.createDataFrame([("token", "thing"), ("the", "and"), ("license", "version disorder"), ("idiot", "ing")], f"{DRUG} string, {EVENT} string")
-    return literature.evidence(p, articles)
-
-
-@query(whole_sql("article_relevance", *ARTICLE_CUTS))
-def article_relevance_all(spark, d):
-    return rounded(_evidence_all(spark, d).select(DRUG, EVENT, "pmid", "relevance_score", "mentions_drug", "mentions_event", "adverse_context"))
-
-
-@query(whole_sql("literature_support", *ARTICLE_CUTS))
-def literature_support_all(spark, d):
-    return rounded(literature.support_summary(_evidence_all(spark, d)))
-
-
-@query(whole_sql("evidence_by_year", *ARTICLE_CUTS))
-def evidence_by_year_all(spark, d):
-    return literature.by_year(_evidence_all(spark, d))
+@query("""
+WITH syn AS (SELECT * FROM (VALUES ('Licence', 'thing', 'Licence'), ('Licence', 'thing', 'license'), ('Licence', 'thing', 'TOKEN'), ('Other', 'and', 'Other')) t(drug, event, name)),
+b AS (SELECT doc_id, lower(split_part(text, chr(10), 1) || ' ' || text) AS b FROM documents)
+SELECT drug AS drug_name_normalized, event AS adverse_event, doc_id AS pmid, true AS mentions_drug FROM b, syn WHERE contains(b, lower(name)) AND contains(b, event) GROUP BY 1, 2, 3""")
+def literature_synonyms(spark, d):
+    """Evidence of items by any of their names; synonyms are found without case."""
+    p = spark.createDataFrame([("Licence", "thing"), ("Other", "and")], f"{DRUG} string, {EVENT} string")
+    names = spark.createDataFrame([("LICENCE", "license"), ("licence", "TOKEN"), ("nothing", "thing")], "drug string, synonym string")
+    return literature.evidence(p, _articles(spark, d), names).select(DRUG, EVENT, "pmid", "mentions_drug")
 
 
 # -- survey -------------------------------------------------------------------------------------------
@@ -681,7 +730,7 @@ def evidence_by_year_all(spark, d):
 SURVEY = """
 part_of AS (SELECT c_custkey AS id, c_acctbal AS w, c_custkey % 90 AS age, c_mktsegment = 'BUILDING' AS female, CASE WHEN c_custkey % 7 > 0 THEN 20 + c_custkey % 20 END AS bmi,
   CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 = 1 END AS diabetes, CASE WHEN c_custkey % 3 > 0 THEN 4 + (c_custkey % 50) / 10 END AS hba1c FROM customer WHERE c_acctbal > 0),
-users AS (SELECT DISTINCT o_custkey AS id, upper(p_type) AS medication FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1),
+users AS (SELECT DISTINCT o_custkey AS id, upper(p_type) AS medication FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
 tot AS (SELECT sum(w) AS t FROM part_of)"""
 
 
@@ -690,7 +739,7 @@ def _survey(spark, d):
     k = F.col("c_custkey")
     people = c.select(k.alias("id"), F.col("c_acctbal").alias("w"), (k % 90).alias("age"), (F.col("c_mktsegment") == "BUILDING").alias("female"), F.when(k % 7 > 0, 20 + k % 20).alias("bmi"), F.when(k % 5 > 0, k % 5 == 1).alias("diabetes"), F.when(k % 3 > 0, 4 + (k % 50) / 10).alias("hba1c"))
     o, li, p = (table(spark, d, x) for x in ("orders", "lineitem", "part"))
-    rx = o.join(li.filter("l_linenumber = 1"), F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_custkey").alias("id"), F.concat("p_type", F.lit("; "), "p_type").alias("drug"))
+    rx = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_custkey").alias("id"), F.concat("p_type", F.lit("; "), "p_type").alias("drug"))
     return survey.population_context(people, survey.medications(rx, "id", "drug"), "id", "w", "age", "female", "bmi", "diabetes", "hba1c")
 
 
@@ -711,15 +760,15 @@ def survey_profile(spark, d):
 
 @query(f"""WITH {MATRIX}, dup AS (SELECT * FROM scored UNION ALL SELECT * FROM scored WHERE a_drug_event % 10 = 0),
 f AS (SELECT count(*) AS n, count(*) FILTER (ror <= 0) AS low, count(*) - count(DISTINCT (drug_name_normalized, adverse_event)) AS rep, avg(min_count_flag::INT) AS share FROM dup)
-SELECT 'signal_scores' AS "table", "check", category, status FROM (
-  SELECT 'required_columns' AS "check", 'completeness' AS category, 'pass' AS status
-  UNION ALL SELECT 'row_count', 'completeness', CASE WHEN n > 0 THEN 'pass' ELSE 'fail' END FROM f
-  UNION ALL SELECT 'ror_positive', 'validity', CASE WHEN low > 0 THEN 'warn' ELSE 'pass' END FROM f
-  UNION ALL SELECT 'pair_uniqueness', 'uniqueness', CASE WHEN rep > 0 THEN 'fail' ELSE 'pass' END FROM f
-  UNION ALL SELECT 'min_count_distribution', 'distribution', CASE WHEN share >= 0.95 THEN 'warn' ELSE 'pass' END FROM f)""")
+SELECT 'signal_scores' AS "table", "check", category, status, detail FROM (
+  SELECT 'required_columns' AS "check", 'completeness' AS category, 'pass' AS status, 'all present' AS detail
+  UNION ALL SELECT 'row_count', 'completeness', CASE WHEN n > 0 THEN 'pass' ELSE 'fail' END, n || ' rows' FROM f
+  UNION ALL SELECT 'ror_positive', 'validity', CASE WHEN low > 0 THEN 'warn' ELSE 'pass' END, low || ' rows not above 0' FROM f
+  UNION ALL SELECT 'pair_uniqueness', 'uniqueness', CASE WHEN rep > 0 THEN 'fail' ELSE 'pass' END, rep || ' repeated pairs' FROM f
+  UNION ALL SELECT 'min_count_distribution', 'distribution', CASE WHEN share >= 0.95 THEN 'warn' ELSE 'pass' END, format('{{:.1f}}', share * 100) || '% below the minimum' FROM f)""")
 def quality_checks(spark, d):
     s = domain.scores(spark, d)
-    return marts.quality_checks(s.unionByName(s.filter("a_drug_event % 10 = 0"))).drop("detail")
+    return marts.quality_checks(s.unionByName(s.filter("a_drug_event % 10 = 0")))
 
 
 @query(f"""WITH {MATRIX} SELECT 0::BIGINT AS failed_checks, CASE WHEN avg(min_count_flag::INT) >= 0.95 THEN 1 ELSE 0 END::BIGINT AS warning_checks, CASE WHEN avg(min_count_flag::INT) >= 0.95 THEN 4 ELSE 5 END::BIGINT AS passed_checks FROM scored""")
@@ -727,22 +776,18 @@ def quality_summary(spark, d):
     return marts.check_summary(marts.quality_checks(domain.scores(spark, d)))
 
 
-@query()
+@query(f"""WITH {MATRIX} SELECT 'orders' AS source, 'all' AS source_period, 'success' AS status, 0::BIGINT AS rows_raw, (SELECT count(*) FROM orders)::BIGINT AS rows_silver, count(*)::BIGINT AS rows_gold,
+  0::BIGINT AS failed_checks, CASE WHEN avg(min_count_flag::INT) >= 0.95 THEN 1 ELSE 0 END::BIGINT AS warning_checks, 0.0::DOUBLE AS estimated_cost_usd, '' AS notes FROM scored""")
 def pipeline_health(spark, d):
+    """A run's row but for its id, time and duration."""
     s = domain.scores(spark, d)
-    return marts.pipeline_health(spark, marts.quality_checks(s), "orders", "all", {"gold": s.count()})
+    t = marts.pipeline_health(spark, marts.quality_checks(s), "orders", "all", {"gold": s.count(), "silver": table(spark, d, "orders").count()})
+    return t.drop("run_id", "run_timestamp", "duration_seconds")
 
 
-@query("""SELECT o_orderkey AS key, o_orderpriority AS priority, NULL::VARCHAR AS segment FROM orders WHERE o_orderkey % 2 = 0
+@query("""SELECT o_orderkey AS key, o_orderpriority AS priority, NULL::VARCHAR AS segment FROM orders
   UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer""")
 def union_missing_columns(spark, d):
-    a = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
-    b = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
-@query(whole_sql("union_missing_columns", (" WHERE o_orderkey % 2 = 0", "")))
-def union_missing_columns_all(spark, d):
     a = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
     b = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
     return a.unionByName(b, allowMissingColumns=True)
@@ -786,36 +831,48 @@ def date_parse_quarters(spark, d):
 
 
 @query("""SELECT o_orderkey::VARCHAR AS primaryid, o_custkey::VARCHAR AS caseid, o_orderdate::DATE AS fda_date, CASE WHEN o_orderkey % 2 = 0 THEN 'F' ELSE 'M' END AS patient_sex,
-  year(o_orderdate)::INTEGER AS year, 'Q' || quarter(o_orderdate) AS quarter FROM orders WHERE year(o_orderdate) = 1996 AND quarter(o_orderdate) IN (1, 2)""")
+  year(o_orderdate)::INTEGER AS year, 'Q' || quarter(o_orderdate) AS quarter FROM orders WHERE o_orderdate IS NOT NULL""")
 def ascii_ingest_roundtrip(spark, d):
-    """Orders of two quarters written as delimited extracts, with a header that differs by
+    """Orders of every quarter written as delimited extracts, with a header that differs by
     quarter, read again as silver."""
-    root = f"{shared_dir(spark)}/bronze-{spark.range(1).selectExpr('uuid() as u').first()['u']}"
-    o = table(spark, d, "orders").filter("year(o_orderdate) = 1996")
-    for q in (1, 2):
-        sex = "sex" if q == 1 else "GNDR_COD"
-        t = o.filter(F.quarter("o_orderdate") == q).select(F.col("o_orderkey").alias("primaryid"), F.col("o_custkey").alias("caseid"), F.date_format("o_orderdate", "yyyyMMdd").alias("fda_dt"), F.when(F.col("o_orderkey") % 2 == 0, "F").otherwise("M").alias(sex))
-        t.write.option("sep", "$").option("header", True).csv(f"{root}/year=1996/quarter=Q{q}/ascii/DEMO.txt")
+    root = f"{shared_dir(spark)}/bronze-{uuid.uuid4().hex}"
+    o = table(spark, d, "orders").filter("o_orderdate is not null")
+    sex = F.when(F.col("o_orderkey") % 2 == 0, "F").otherwise("M")
+    t = o.select(F.col("o_orderkey").alias("primaryid"), F.col("o_custkey").alias("caseid"), F.date_format("o_orderdate", "yyyyMMdd").alias("fda_dt"), sex.alias("sex"), F.year("o_orderdate").alias("year"), F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")).alias("quarter"))
+    bronze.write_extracts(t.filter("quarter = 'Q1'"), root, "reports")
+    bronze.write_extracts(t.filter("quarter <> 'Q1'").withColumnRenamed("sex", "GNDR_COD"), root, "reports")
     silver = bronze.silver_table(spark, root, "reports", bronze.discover_quarters(spark, root))
     lake.write_silver(silver, f"{root}/silver/reports")
     t = lake.read_table(spark, f"{root}/silver/reports")
     return t.select("primaryid", "caseid", "fda_date", "patient_sex", F.col("year").cast("int").alias("year"), "quarter")
 
 
-@query(whole_sql("ascii_ingest_roundtrip", (" WHERE year(o_orderdate) = 1996 AND quarter(o_orderdate) IN (1, 2)", " WHERE o_orderdate IS NOT NULL")))
-def ascii_ingest_roundtrip_all(spark, d):
-    """Orders of every quarter written as delimited extracts, with a header that differs by
-    quarter, read again as silver."""
-    root = f"{shared_dir(spark)}/bronze-{spark.range(1).selectExpr('uuid() as u').first()['u']}"
-    o = table(spark, d, "orders").withColumns({"y": F.year("o_orderdate"), "q": F.quarter("o_orderdate")})
-    for r in o.filter("y is not null").select("y", "q").distinct().collect():  # quarters: few
-        sex = "sex" if r["q"] == 1 else "GNDR_COD"
-        t = o.filter((F.col("y") == r["y"]) & (F.col("q") == r["q"])).select(F.col("o_orderkey").alias("primaryid"), F.col("o_custkey").alias("caseid"), F.date_format("o_orderdate", "yyyyMMdd").alias("fda_dt"), F.when(F.col("o_orderkey") % 2 == 0, "F").otherwise("M").alias(sex))
-        t.write.option("sep", "$").option("header", True).csv(f"{root}/year={r['y']}/quarter=Q{r['q']}/ascii/DEMO.txt")
-    silver = bronze.silver_table(spark, root, "reports", bronze.discover_quarters(spark, root))
-    lake.write_silver(silver, f"{root}/silver/reports")
-    t = lake.read_table(spark, f"{root}/silver/reports")
-    return t.select("primaryid", "caseid", "fda_date", "patient_sex", F.col("year").cast("int").alias("year"), "quarter")
+_LINES = "SELECT l_orderkey::VARCHAR AS primaryid, l_linenumber, p_brand, p_type, l_returnflag, n_name, year(o_orderdate)::INTEGER AS year, 'Q' || quarter(o_orderdate) AS quarter FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey"
+
+
+@query(f"""WITH li AS ({_LINES}) SELECT name, year, quarter, count(*)::BIGINT AS n, count(DISTINCT primaryid)::BIGINT AS cases, count(DISTINCT value)::BIGINT AS "values", min(value) AS first_value, max(value) AS last_value FROM (
+  SELECT 'drugs' AS name, year, quarter, primaryid, upper(p_brand) AS value FROM li
+  UNION ALL SELECT 'reactions', year, quarter, primaryid, upper(n_name) FROM li
+  UNION ALL SELECT 'outcomes', year, quarter, primaryid, l_returnflag FROM li
+  UNION ALL SELECT 'indications', year, quarter, primaryid, p_type FROM li
+  UNION ALL SELECT 'therapies', year, quarter, primaryid, l_linenumber::VARCHAR FROM li
+  UNION ALL SELECT 'report_sources', year, quarter, primaryid, l_returnflag FROM li) GROUP BY 1, 2, 3""")
+def ascii_ingest_tables(spark, d):
+    """The other tables of an extract, every line of every quarter, by name and quarter."""
+    root = f"{shared_dir(spark)}/bronze-{uuid.uuid4().hex}"
+    li, o, p = (table(spark, d, x) for x in ("lineitem", "orders", "part"))
+    where = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")  # 25 nations
+    t = li.join(o.select("o_orderkey", "o_orderdate"), F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey")).join(where, F.col("s_suppkey") == F.col("l_suppkey"))
+    t = stored(t.select(F.col("l_orderkey").alias("primaryid"), "l_linenumber", F.regexp_replace("p_brand", "#", "").alias("p_brand"), "p_type", "l_returnflag", "n_name", F.year("o_orderdate").alias("year"), F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")).alias("quarter")), "lines")
+    raw = {"drugs": ("drugname", "p_brand", "drug_name_normalized"), "reactions": ("pt", "n_name", "reaction_term_normalized"), "outcomes": ("outc_cod", "l_returnflag", "outcome_code"), "indications": ("indi_pt", "p_type", "indication"), "therapies": ("dsg_drug_seq", "l_linenumber", "drug_seq"), "report_sources": ("rpsr_cod", "l_returnflag", "report_source_code")}
+    out = None
+    for name, (column, source, canonical) in raw.items():
+        bronze.write_extracts(t.select("primaryid", F.col(source).alias(column), "year", "quarter"), root, name)
+        back = bronze.silver_table(spark, root, name, bronze.discover_quarters(spark, root))
+        value = F.regexp_replace(canonical, "^BRAND", "BRAND#") if name == "drugs" else F.col(canonical)
+        n = back.groupBy(F.lit(name).alias("name"), "year", "quarter").agg(F.count("*").alias("n"), F.count_distinct("primaryid").alias("cases"), F.count_distinct(value).alias("values"), F.min(value).alias("first_value"), F.max(value).alias("last_value"))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @query("""WITH e AS (SELECT user_id || '-' || ts::DATE AS pid, event_type AS event, 'k' || (json_extract_string(props, '$.k')::BIGINT % 10) AS drug FROM events),

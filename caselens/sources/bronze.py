@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import json
 import re
+import shutil
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -118,19 +123,80 @@ def member_for(names: list[str], table: str, year: int, quarter: int) -> str | N
     return next((n for n in names if FILES[table] in Path(n).name.upper() and n.upper().endswith(".TXT")), None)
 
 
-def stage_archive(archive: str, root: str, year: int, quarter: int) -> list[str]:
-    """Unpacks an archive's tables, and its deletion lists as one, into the bronze layout.
-    Driver-side, where the archive is; returns the tables found."""
-    out = Path(root) / f"year={year}" / f"quarter=Q{quarter}" / "ascii"
-    out.mkdir(parents=True, exist_ok=True)
+def write_extracts(t: DataFrame, root: str, table: str) -> None:
+    """Writes rows as delimited extracts into the bronze layout, by their columns year and
+    quarter: one pass over the rows, then each quarter's folder gets its file name."""
+    spark, there = t.sparkSession, f"{root.rstrip('/')}/writing-{uuid.uuid4().hex}"
+    t.write.partitionBy("year", "quarter").option("sep", "$").option("header", True).csv(there)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(there).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path(f"{there}/year=*/quarter=*")) or []:
+        quarter = found.getPath()
+        to = path(f"{root}/{quarter.getParent().getName()}/{quarter.getName()}/ascii")
+        fs.mkdirs(to)
+        fs.rename(quarter, path(to, f"{FILES[table]}.txt"))
+    fs.delete(path(there), True)
+
+
+def stage_archive(archive: str, root: str, year: int, quarter: int, spark: SparkSession | None = None, spare: int = 0) -> dict[str, str]:
+    """Unpacks an archive's tables, and its deletion lists as one, into the bronze layout;
+    returns {table: sha256 of its file} and leaves the same as JSON beside them.
+
+    Members are copied in parts, so none has to fit in memory; the archive is where the
+    driver is. With spark, root may be any path of Hadoop's file systems. OSError where a
+    local disk would be left with less than `spare` bytes.
+    """
+    base = f"{root}/year={year}/quarter=Q{quarter}/ascii"
     with zipfile.ZipFile(archive) as z:
-        names = z.namelist()
-        found = []
-        for table, file in FILES.items():
-            if member := member_for(names, table, year, quarter):
-                (out / f"{file}.txt").write_bytes(z.read(member))
-                found.append(table)
-        gone = [n for n in names if "DELETE" in n.upper() and n.upper().endswith(".TXT")]
-        if gone:
-            (out / "DELETED.txt").write_bytes(b"\n".join(z.read(n) for n in gone))
-    return found
+        if spark is None:
+            Path(base).mkdir(parents=True, exist_ok=True)
+            needed = sum(i.file_size for i in z.infolist()) + spare
+            if (free := shutil.disk_usage(base).free) < needed:
+                raise OSError(f"{needed} bytes are needed below {base}, {free} are free")
+        names, sums = z.namelist(), {}
+        found = {table: [m] for table in FILES if (m := member_for(names, table, year, quarter))}
+        if gone := [n for n in names if "DELETE" in n.upper() and n.upper().endswith(".TXT")]:
+            found["deleted_cases"] = gone
+        for table, members in found.items():
+            sums[table] = _copied(z, members, f"{base}/{FILES.get(table, 'DELETED')}.txt", spark)
+        note = json.dumps({"archive": Path(archive).name, "year": year, "quarter": quarter, "sha256": sums}, sort_keys=True)
+        with _writer(f"{base}/_staged.json", spark) as out:
+            out(note.encode())
+    return sums
+
+
+def _copied(z: zipfile.ZipFile, members: list[str], path: str, spark: SparkSession | None) -> str:
+    """The members one after another, a line end between them, as one file; its sha256."""
+    total = hashlib.sha256()
+    with _writer(path, spark) as out:
+        for k, member in enumerate(members):
+            if k:
+                out(b"\n")
+                total.update(b"\n")
+            with z.open(member) as src:
+                while part := src.read(1 << 20):
+                    out(part)
+                    total.update(part)
+    return total.hexdigest()
+
+
+@contextlib.contextmanager
+def _writer(path: str, spark: SparkSession | None):
+    if spark is None:
+        with open(path, "wb") as f:
+            yield f.write
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        yield lambda b: out.write(bytearray(b))
+    finally:
+        out.close()
+
+
+def prune(root: str, keep: int) -> list[str]:
+    """Deletes archives (*.zip) below a local folder but the `keep` latest by name."""
+    old = sorted(Path(root).glob("**/*.zip"), key=lambda p: p.name)[: -keep or None]
+    for p in old:
+        p.unlink()
+    return [p.name for p in old]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
+from datetime import datetime, timezone
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +59,13 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Gold:
-    """Marts below a folder, with a second folder of samples to fall back on."""
+    """Marts below a folder, with a second folder of samples to fall back on. What is read is
+    remembered, absence too, for so many seconds."""
 
-    def __init__(self, spark: SparkSession, root: str, sample_root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, sample_root: str | None = None, seconds: float = 300.0, clock=time.monotonic):
         self.spark, self.root, self.sample_root = spark, root.rstrip("/"), sample_root
-        self._loaded: dict[str, DataFrame | None] = {}
+        self.seconds, self.clock = seconds, clock
+        self._loaded: dict[str, tuple[float, DataFrame | None]] = {}
 
     def write(self, t: DataFrame, name: str, files: int | None = None) -> None:
         """Overwrites a mart; files: how many, for marts that are small."""
@@ -76,15 +82,35 @@ class Gold:
     def exists(self, name: str) -> bool:
         return self.source(name) is not None
 
+    def provenance(self, name: str) -> str:
+        """`pipeline` for a mart of the folder, `demo` for one of the samples, else `none`."""
+        path = self.source(name)
+        return "none" if path is None else "pipeline" if path.startswith(f"{self.root}/") else "demo"
+
     def read(self, name: str) -> DataFrame:
-        """A mart, remembered with its absence until it is written or forgotten."""
-        if name not in self._loaded:
+        """A mart, remembered with its absence until it is written, forgotten or too old."""
+        if name not in self._loaded or self.clock() - self._loaded[name][0] > self.seconds:
             path = self.source(name)
-            self._loaded[name] = self.spark.read.parquet(path) if path else None
-        if (t := self._loaded[name]) is None:
+            self._loaded[name] = (self.clock(), self.spark.read.parquet(path) if path else None)
+        if (t := self._loaded[name][1]) is None:
             raise FileNotFoundError(name)
         return t
 
+    def publish(self, to: str, stamp: str, retired: tuple[str, ...] = ()) -> list[str]:
+        """Copies the marts to another folder: what stands there under a mart's name moves to
+        backup/<stamp> first, retired marts too, which are not replaced. Returns the marts."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(to).getFileSystem(conf)
+        for name in (*self.names(), *retired):
+            old = path(f"{to}/{name}.parquet")
+            if fs.exists(old):
+                fs.mkdirs(path(f"{to}/backup/{stamp}"))
+                fs.rename(old, path(f"{to}/backup/{stamp}/{name}.parquet"))
+        for name in self.names():
+            self.read(name).write.parquet(f"{to}/{name}.parquet")
+        return self.names()
+
     def forget(self) -> None:
         self._loaded.clear()
 
@@ -128,6 +154,14 @@ def write_csv(t: DataFrame, path: str) -> None:
 
 def cache_envelope(source_url: str, payload: str) -> dict:
     """What a cached response is stored as."""
-    from datetime import datetime, timezone
-
     return {"_source_url": source_url, "_ingest_timestamp": datetime.now(timezone.utc).isoformat(), "data": payload}
+
+
+def write_envelope(spark: SparkSession, path: str, source_url: str, payload: str) -> None:
+    """Stores a response in its envelope as one JSON file, on any of Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(json.dumps(cache_envelope(source_url, payload)).encode()))
+    finally:
+        out.close()

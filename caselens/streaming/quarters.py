@@ -19,9 +19,13 @@ def report_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def quarterly_counts(stream: DataFrame, time: str = "fda_date", late: str = "120 days") -> DataFrame:
-    """Reports of each quarter and term as a running count; reports later than `late` behind
-    the newest are left out."""
-    return stream.withWatermark(time, late).groupBy(dates.quarter_label(F.col(time)).alias("quarter"), "term").agg(F.count("*").alias("reports"))
+    """Reports of each day and term, with the day's quarter, as a running count. Days are
+    windows of event time, so the watermark closes them: in append and update mode reports
+    later than `late` behind the newest are left out, and a closed day's state goes; quarters
+    are sums of their days. Complete mode keeps all state, as everywhere."""
+    day = F.window(F.col(time), "1 day")
+    t = stream.withWatermark(time, late).groupBy(day.alias("day"), "term").agg(F.count("*").alias("reports"))
+    return t.select(F.col("day.start").alias("day"), dates.quarter_label(F.col("day.start")).alias("quarter"), "term", "reports")
 
 
 def into_silver(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -196,3 +196,45 @@ def test_demo_cases_through_the_whole_pipeline(spark, tmp_path):
         assert gold.read("signal_scores").filter("label_status = 'labeled'").count() == 2
     assert {"drug_label_flags", "subgroup_signals", "interaction_signals", "pubmed_evidence", "pubmed_support_summary"} <= set(written)
     assert gold.read("subgroup_signals").count() > 0 and gold.read("signal_scores_stats").first()["novel_total"] > 0
+
+
+def test_marts_expire_and_are_published(spark, tmp_path):
+    now = [0.0]
+    gold = Gold(spark, str(tmp_path / "a"), str(tmp_path / "samples"), seconds=300, clock=lambda: now[0])
+    with pytest.raises(FileNotFoundError):
+        gold.read("m")
+    spark.range(2).write.parquet(str(tmp_path / "samples/m.parquet"))
+    assert gold.provenance("m") == "demo" and gold.provenance("x") == "none"
+    with pytest.raises(FileNotFoundError):
+        gold.read("m")  # its absence is remembered
+    now[0] = 301
+    assert gold.read("m").count() == 2
+    gold.write(spark.range(3), "m")
+    assert gold.provenance("m") == "pipeline" and gold.read("m").count() == 3
+    assert [(r["mart"], r["rows"], r["source"], r["status"]) for r in serving.health(gold).collect()] == [("m", 3, "pipeline", "unknown")]
+    to = str(tmp_path / "public")
+    spark.range(9).write.parquet(f"{to}/old.parquet")
+    assert gold.publish(to, "2024-01-01") == ["m"]
+    gold.write(spark.range(4), "m")
+    gold.publish(to, "2024-01-02", retired=("old",))
+    assert spark.read.parquet(f"{to}/m.parquet").count() == 4 and spark.read.parquet(f"{to}/backup/2024-01-02/m.parquet").count() == 3
+    assert lake.read_table(spark, f"{to}/old.parquet") is None and spark.read.parquet(f"{to}/backup/2024-01-02/old.parquet").count() == 9
+    lake.write_envelope(spark, str(tmp_path / "e.json"), "http://x", "payload")
+    assert spark.read.json(str(tmp_path / "e.json")).first()["data"] == "payload"
+
+
+def test_labels_by_brute_force(spark):
+    """Variants of one and several words, short ones, and parts of words."""
+    rng = random.Random(5)
+    words = ["oedema", "edema", "flu", "a", "pain", "painful", "acute", "leg", "gut ill", "hiv 1", "tumour", "of"]
+    texts = [("d%d" % (i % 3), rng.choice(["warnings", "boxed_warning", "adverse_reactions"]), " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))).upper()) for i in range(30)]
+    events = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(60)] + ["  ", "Ill", "hiv  1", "1"]
+    p = spark.createDataFrame([("D%d" % i, e) for i in range(4) for e in dict.fromkeys(events)], "drug_name_normalized string, adverse_event string")
+    t = spark.createDataFrame(texts, "drug string, section string, text string")
+    from caselens.functions import text as f
+
+    merged = labels.merged_sections(t).select(F.upper("drug").alias("d"), "section", "rank", "text")
+    want = p.join(merged, F.upper("drug_name_normalized") == F.col("d")).filter(f.event_in_section(F.col("text"), F.col("adverse_event"))).groupBy("drug_name_normalized", "adverse_event").agg(F.min_by("section", "rank").alias("s"))
+    want = {tuple(r)[:2]: r["s"] for r in want.collect()}
+    got = {(r["drug_name_normalized"], r["adverse_event"]): r["label_section"] for r in labels.label_flags(p, t).collect()}
+    assert len(got) == p.count() and {k: v for k, v in got.items() if v} == want and len(want) > 50
