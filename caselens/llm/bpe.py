@@ -27,7 +27,9 @@ from caselens.llm.common import each_table, ready, table_columns
 
 NONE = np.int64(1) << 40
 #: Distinct pieces of text that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Bytes of text that a task gathers for one replay.
+CORPUS_BYTES = 4 << 20
 #: A blank between white space: there a run of white space can't be cut before the blank.
 _blanks = re.compile(r"\s (?!\S)").search
 
@@ -197,8 +199,9 @@ def replay(path: str) -> MergeReplay:
         return MergeReplay({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str | Column = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(key, ids): the whole text's ids as little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, key: str = "doc_id", text: str | Column = "text", path: str | None = None, pattern: str | None = None, back: bool = False) -> DataFrame:
+    """(key, ids): the whole text's ids as little-endian unsigned 32-bit integers; with back
+    also `decoded`, the bytes that these ids stand for, from the same pass.
 
     path: a file of ranks that every executor has. A null text counts as empty and has no
     ids; null keys and repeated rows come back as they are; an empty table gives no rows.
@@ -208,12 +211,14 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str | Column = "text", pa
     text = F.col(text) if isinstance(text, str) else text
 
     def run(t: pa.Table) -> pa.Table:
-        ids = replay(path).encode(t["text"].to_pylist(), pattern)
-        return pa.table([t["key"], pa.array(ids, pa.binary())], ["key", "ids"])
+        of = replay(path)
+        ids = of.encode(t["text"].to_pylist(), pattern)
+        out = pa.table([t["key"], pa.array(ids, pa.binary())], ["key", "ids"])
+        return out.append_column("decoded", pa.array(list(map(of.decode, ids)), pa.binary())) if back else out
 
     slim = table_columns(docs, {"key": F.col(key), "text": F.coalesce(text, F.lit(""))})
     kind = slim.schema["key"].dataType.simpleString()
-    return slim.mapInArrow(each_table(run), f"key {kind}, ids binary").withColumnRenamed("key", key)
+    return slim.mapInArrow(each_table(run, CORPUS_BYTES), f"key {kind}, ids binary" + (", decoded binary" if back else "")).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -231,6 +236,6 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str
 
 
 def op1_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    both = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    both = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), back=True)
     n = (F.octet_length("ids") / 4).cast("long")
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
