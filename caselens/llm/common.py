@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,17 +16,19 @@ from caselens.session import ship, stored
 #: White space of the word rules: space, tab, \n, \v, \f, \r. Fixed value.
 SPACE = r"[\x20\x09-\x0D]"
 
-#: Records per Arrow batch, so that batches of long texts stay small.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch, so that batches of long texts stay small.
+BATCH_BYTES = 2 << 20
 #: Bytes of text that a task gathers before it works on them.
 GATHER_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """The source shipped, and Arrow batches bounded for columns of long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(GATHER_BYTES))
+    """The source shipped, and Arrow batches bounded in bytes; how many rows a batch holds is
+    left as it is, so that batches of short rows stay large in the caller's session too."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(setting).removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
     return ship(spark)
 
 
@@ -80,6 +84,37 @@ def roots(n: int, pairs: np.ndarray) -> np.ndarray:
     return parent
 
 
+# -- all pairs of tiles ----------------------------------------------------------------------
+
+
+def order_for(total: int, most: int) -> int:
+    """The least prime q for which (q + 1) of q * q + q + 1 equal parts are no more than most."""
+    q = 2
+    while total * (q + 1) > most * (q * q + q + 1) or any(q % k == 0 for k in range(2, math.isqrt(q) + 1)):
+        q += 1
+    return q
+
+
+@functools.lru_cache(maxsize=8192)
+def through(point: int, q: int) -> tuple[int, ...]:
+    """The q + 1 lines of the projective plane of prime order q through a point, or points of
+    a line; any two points share one line. Numbers stand for triples (1, a, b), (0, 1, a) and
+    (0, 0, 1); a line and a point meet where their product is 0 modulo q."""
+    x, y, z = (1, *divmod(point, q)) if point < q * q else (0, 1, point - q * q) if point < q * q + q else (0, 0, 1)
+    if z:
+        inverse = pow(z, -1, q)
+        return (*(a * q + -(x + a * y) * inverse % q for a in range(q)), q * q + -y * inverse % q)
+    if y:
+        a = -x * pow(y, -1, q) % q
+        return (*(a * q + b for b in range(q)), q * q + q)
+    return (*(q * q + a for a in range(q)), q * q + q)
+
+
+def home(tile: int, q: int) -> int:
+    """The line on which a tile is compared with itself."""
+    return min(through(tile, q))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges.
 

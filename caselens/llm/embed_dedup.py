@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import components, ready, roots, table_columns
+from caselens.llm.common import components, home, order_for, ready, roots, table_columns, through
 from caselens.session import stored
 
 COSINE = 0.95
@@ -68,31 +68,6 @@ def matrix(column: pa.Array | pa.ChunkedArray, dims: int, kind: str) -> np.ndarr
     return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros((0, dims), kind)
 
 
-# -- the plane ----------------------------------------------------------------------------------
-
-
-def order_for(total: int, most: int) -> int:
-    """The least prime q for which (q + 1) of q * q + q + 1 equal parts are no more than most."""
-    q = 2
-    while total * (q + 1) > most * (q * q + q + 1) or any(q % k == 0 for k in range(2, math.isqrt(q) + 1)):
-        q += 1
-    return q
-
-
-def through(point: int, q: int) -> list[int]:
-    """The q + 1 lines of the plane of prime order q through a point, or points of a line:
-    numbers stand for triples (1, a, b), (0, 1, a) and (0, 0, 1), a line and a point meet
-    where their product is 0 modulo q."""
-    x, y, z = (1, *divmod(point, q)) if point < q * q else (0, 1, point - q * q) if point < q * q + q else (0, 0, 1)
-    if z:
-        inverse = pow(z, -1, q)
-        return [a * q + -(x + a * y) * inverse % q for a in range(q)] + [q * q + -y * inverse % q]
-    if y:
-        a = -x * pow(y, -1, q) % q
-        return [a * q + b for b in range(q)] + [q * q + q]
-    return [q * q + a for a in range(q)] + [q * q + q]
-
-
 # -- comparing -----------------------------------------------------------------------------------
 
 
@@ -168,15 +143,11 @@ class Tiling:
         gap = np.maximum(0, np.maximum(self.low[others] - self.high[tile], self.low[tile] - self.high[others]))
         return np.sqrt((gap * gap).sum(axis=1)) <= math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
 
-    def home(self, tile: int) -> int:
-        """The task in which a tile is compared with itself."""
-        return min(through(tile, self.q))
-
     def tasks(self, tile: int, cosine: float) -> list[int]:
         """The lines through a tile on which it meets one near enough, and its home."""
         if tile not in self.known:
-            home, there = self.home(tile), len(self.low)
-            self.known[tile] = [line for line in through(tile, self.q) if line == home or self.near(tile, np.array([t for t in through(line, self.q) if t != tile and t < there], dtype=int), cosine).any()]
+            own, there = home(tile, self.q), len(self.low)
+            self.known[tile] = [line for line in through(tile, self.q) if line == own or self.near(tile, np.array([t for t in through(line, self.q) if t != tile and t < there], dtype=int), cosine).any()]
         return self.known[tile]
 
 
@@ -275,7 +246,7 @@ def compared(classes: DataFrame, kind: str, cosine: float, tile: int, task_bytes
         at = {int(t): np.flatnonzero(tile == t) for t in np.unique(tile)}
         sides, found = {t: Tile(x[rows], axes) for t, rows in at.items()}, []
         for a, b in itertools.combinations_with_replacement(sorted(at), 2):
-            if of is None or (of.home(a) == line if a == b else of.near(a, np.array([b]), cosine)[0]):
+            if of is None or (home(a, of.q) == line if a == b else of.near(a, np.array([b]), cosine)[0]):
                 p = linked(sides[a], sides[b], cosine)
                 found.append(np.column_stack([at[a][p[:, 0]], at[b][p[:, 1]]]))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)

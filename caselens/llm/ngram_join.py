@@ -8,10 +8,14 @@ is reached, where they are compared in tiles. Runs are as many as the target rec
 for a pair that is just similar enough in the deepest buckets.
 
 Brute force over signatures only has to connect what belongs together: it gives a spanning
-forest of pairs that look similar, with a margin. Within each of its components, which are
-tiled where large, the sets themselves are compared: all links between classes are counted
-by exact Jaccard similarity, and their spanning forest gives the classes of near-copies. No
-step lists all pairs of a group.
+forest of pairs that look similar, with a margin. Within each of its components the sets
+themselves are compared: all links between classes are counted by exact Jaccard similarity,
+and their spanning forest gives the classes of near-copies. No step lists all pairs of a
+group.
+
+A group that is too large for one box, by its members or by the bytes of their sets, is dealt
+into tiles, which are the points of a projective plane and boxes its lines: any two tiles
+meet in one box, and a member is copied about as often as the root of the number of tiles.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselens.llm.common import components, each_table, gathered, ready, roots, table_columns
+from caselens.llm.common import components, each_table, gathered, home, order_for, ready, roots, table_columns, through
 from caselens.session import stored
 
 WORDS = 5
@@ -35,18 +39,19 @@ HASHES = 64
 #: Levels of chosen coordinates, and the share of just-similar pairs to be found.
 DEPTH = 3
 RECALL = 0.999
-#: Classes of a bucket that are compared at once; larger buckets split, or are tiled.
+#: Classes of a bucket that are compared at once; larger buckets split.
 SMALL = 256
-TILE = 256
-#: Signatures are small, so more of them make a tile.
-SIGNATURES = 2048
+#: Sets in a box, and their bytes; signatures in a box.
+BOX = 512
+BOX_BYTES = 32 << 20
+SIGNATURES = 4096
 #: Agreeing coordinates from which a pair of signatures is looked at exactly: the similarity
 #: less four standard deviations of the estimate.
 MARGIN = 4.0
 #: Parts that a class's rows are dealt into.
 SALTS = 32
 #: Distinct words that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 _mask = (1 << 64) - 1
 _rng = np.random.default_rng(20)
@@ -185,7 +190,7 @@ def candidate_pairs(classes: DataFrame, similarity: float) -> DataFrame:
         last = level == DEPTH
         members = shared_buckets(paths, last)
         leaves = members if last else members.filter(F.col("n") <= SMALL)
-        pairs = stored(_similar(leaves.join(sig, F.col("id") == F.col("of")), least), "candidates")
+        pairs = stored(_similar(leaves.join(sig, F.col("id") == F.col("of")), least, last), "candidates")
         found = pairs if found is None else found.unionByName(pairs)
         if last or (large := members.filter(F.col("n") > SMALL)).isEmpty():
             break
@@ -193,30 +198,45 @@ def candidate_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
-def tiled(members: DataFrame, group: str, n: str, id: str, tile: int = TILE) -> DataFrame:
-    """members with (ta, tb, tile): a group of more than a tile is dealt into tiles by a hash,
-    and each member stands once for each pair of tiles that it takes part in."""
-    tiles = F.greatest(F.ceil(F.col(n) / tile), F.lit(1))
-    dealt = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64(id, group), F.col("tiles")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    return dealt.withColumn("ta", F.least("tile", "other")).withColumn("tb", F.greatest("tile", "other")).drop("tiles", "other")
+def places(member: int, q: int) -> list[tuple[int, int, bool]]:
+    """(box, tile, whether the tile is compared with itself there) of a member, by its id; all
+    are in one box where q is 0."""
+    if not q:
+        return [(0, 0, True)]
+    tile = int(mixed(np.array([member], dtype=np.int64).view(np.uint64))[0] % np.uint64(q * q + q + 1))
+    return [(line, tile, line == home(tile, q)) for line in through(tile, q)]
 
 
-def _similar(leaves: DataFrame, least: int) -> DataFrame:
-    boxes = tiled(leaves, "path", "n", "id", SIGNATURES).groupBy("path", "ta", "tb").agg(F.collect_list(F.struct("tile", "id", "sig")).alias("m"))  # two tiles at most
+def _similar(leaves: DataFrame, least: int, last: bool) -> DataFrame:
+    """A spanning forest of the pairs of (path, id, n, sig) that agree in `least` coordinates,
+    from each box. Only at the last level may a bucket be too large for one."""
+    one = leaves.filter(F.col("n") <= SIGNATURES) if last else leaves
+    boxes = one.select("path", F.lit(0).cast("long").alias("box"), F.struct(F.lit(0).cast("long").alias("tile"), F.lit(True).alias("home"), "id", "sig").alias("m"))
+    if last:
+
+        def dealt(batches):
+            for t in gathered(batches, 1 << 20):
+                at = [places(i, order_for(n, SIGNATURES)) for i, n in zip(t["id"].to_pylist(), t["n"].to_pylist())]
+                rows = np.repeat(np.arange(len(at)), [len(x) for x in at])
+                for s in range(0, len(rows), 20_000):
+                    part, where = rows[s : s + 20_000], [x for r in at for x in r][s : s + 20_000]
+                    u = t.take(pa.array(part))
+                    yield from pa.table([u["path"], pa.array([x[0] for x in where], pa.int64()), pa.array([x[1] for x in where], pa.int64()), pa.array([x[2] for x in where]), u["id"], u["sig"]], ["path", "box", "tile", "home", "id", "sig"]).to_batches()
+
+        many = leaves.filter(F.col("n") > SIGNATURES).select("path", "id", "n", "sig").mapInArrow(dealt, "path long, box long, tile long, home boolean, id long, sig binary")
+        boxes = boxes.unionByName(many.select("path", "box", F.struct("tile", "home", "id", "sig").alias("m")))
+    boxes = boxes.groupBy("path", "box").agg(F.collect_list("m").alias("m"))  # SIGNATURES at most, about
 
     def compare(batches):
         for t in gathered(batches, 4 << 20):
             out = []
-            for ta, tb, tile, ids, (sig,) in _boxes(t, ("sig",)):
+            for tile, own, ids, (sig,) in _boxes(t, ("sig",)):
                 s = np.frombuffer(b"".join(sig), "<u4").reshape(-1, HASHES)
-                left, right = _sides(ta, tb, tile)
                 pairs = []
-                for i in range(0, len(left), 64):
-                    rows = left[i : i + 64]
-                    x, y = np.nonzero((s[rows][:, None, :] == s[right][None, :, :]).sum(axis=2) >= least)
-                    x, y = rows[x], right[y]
-                    pairs.append(np.column_stack([x, y])[ids[x] != ids[y]])
+                for i in range(0, len(ids), 64):
+                    x, y = np.nonzero((s[i : i + 64, None, :] == s[None, i:, :]).sum(axis=2) >= least)
+                    x, y = x + i, y + i
+                    pairs.append(np.column_stack([x, y])[(x < y) & (ids[x] != ids[y]) & (own[x] | (tile[x] != tile[y]))])
                 top = roots(len(ids), np.concatenate(pairs))
                 at = np.flatnonzero(top != np.arange(len(ids)))
                 out.append(np.column_stack([ids[at], ids[top[at]]]))
@@ -226,21 +246,17 @@ def _similar(leaves: DataFrame, least: int) -> DataFrame:
     return boxes.mapInArrow(compare, "a long, b long")
 
 
-def _sides(ta: int, tb: int, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.flatnonzero(tile == ta), np.flatnonzero(tile == tb)
-
-
 def _boxes(t: pa.Table, more: tuple[str, ...]):
-    """Each row's tiles and members, from a column m of structs."""
+    """Each row's members, from a column m of structs: tiles, homes, ids and more."""
     for chunk in t.to_batches():
         m = chunk.column("m")
         flat, offsets = m.flatten(), m.offsets.to_numpy()
         offsets = offsets - offsets[0]
-        tile, ids = flat.field("tile").to_numpy(), flat.field("id").to_numpy()
+        tile, ids, own = flat.field("tile").to_numpy(), flat.field("id").to_numpy(), flat.field("home").to_numpy(zero_copy_only=False)
         rest = [flat.field(c) for c in more]
-        for k, (ta, tb) in enumerate(zip(chunk.column("ta").to_pylist(), chunk.column("tb").to_pylist())):
+        for k in range(len(chunk)):
             s = slice(offsets[k], offsets[k + 1])
-            yield ta, tb, tile[s], ids[s], [c.slice(s.start, s.stop - s.start).to_pylist() for c in rest]
+            yield tile[s], own[s], ids[s], [c.slice(s.start, s.stop - s.start).to_pylist() for c in rest]
 
 
 # -- exact links -------------------------------------------------------------------------------
@@ -277,41 +293,59 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, c
     return np.rint(total).astype(np.int64)
 
 
-def exact_links(docs: DataFrame, grouped: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, links) within groups of (id, group, n, members, class): links of a over the
-    members of other classes where b is null, and else a spanning forest of links."""
+def box_order(n: int, size: int) -> int:
+    """The plane of a group of n sets of so many bytes: 0 where one box holds it."""
+    return max(order_for(n, BOX), order_for(size, BOX_BYTES)) if n > BOX or size > BOX_BYTES else 0
+
 
-    def sets(t: pa.Table) -> pa.Table:
-        own = [shingler().of(x) for x in t["text"].to_pylist()]
-        same = [i for i, (s, c) in enumerate(zip(own, t["class"].to_pylist())) if class_of(s) == c]  # another text of this key is not meant
-        return t.drop_columns(["text", "class"]).append_column("set", pa.array([s.tobytes() for s in own], pa.binary())).take(pa.array(same, pa.int64()))
+def exact_links(docs: DataFrame, grouped: DataFrame, similarity: float, repeated: bool) -> DataFrame:
+    """(a, b, links) within groups of (id, group, n, bytes, members, class): links of a over
+    the members of other classes where b is null, and else a spanning forest of links.
 
-    texts = docs.join(grouped, docs["key"] == grouped["id"]).select("id", "group", "n", "members", "class", "text")
-    boxes = tiled(texts.mapInArrow(each_table(sets), "id long, group long, n long, members long, set binary"), "group", "n", "id")
-    boxes = boxes.groupBy("group", "ta", "tb").agg(F.collect_list(F.struct("tile", "id", "members", "set")).alias("m"))  # two tiles at most
+    repeated: whether rows of docs may be alike; then each is compared once.
+    """
+
+    def sets(batches):
+        names = ["id", "group", "members", "box", "tile", "home", "set"]
+        for t in gathered(batches, 4 << 20):
+            held, size = [], 0
+            for i, g, n, b, members, c, text in zip(*(t[k].to_pylist() for k in ("id", "group", "n", "bytes", "members", "class", "text"))):
+                s = shingler().of(text)
+                if class_of(s) != c:  # another text of this key is not meant
+                    continue
+                own = s.tobytes()
+                for box, tile, at_home in places(i, box_order(n, b)):
+                    held.append((i, g, members, box, tile, at_home, own))
+                    size += len(own) + 64
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held)], names)
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held)], names)
+
+    texts = docs.join(grouped, docs["key"] == grouped["id"]).select("id", "group", "n", "bytes", "members", "class", "text")
+    if repeated:
+        texts = texts.groupBy("id", F.xxhash64("text").alias("h")).agg(*(F.first(c).alias(c) for c in texts.columns[1:])).drop("h")
+    boxes = texts.mapInArrow(sets, "id long, group long, members long, box long, tile long, home boolean, set binary")
+    boxes = boxes.groupBy("group", "box").agg(F.collect_list(F.struct("tile", "home", "id", "members", "set")).alias("m"))  # BOX sets and BOX_BYTES, about
 
     def compare(batches):
         for t in gathered(batches, 16 << 20):
             count, forest = [], []
-            for ta, tb, tile, ids, (members, raw) in _boxes(t, ("members", "set")):
-                ids, once = np.unique(ids, return_index=True)  # a repeated row gives its set twice
+            for tile, own_box, ids, (members, raw) in _boxes(t, ("members", "set")):
                 if len(ids) < 2:
                     continue
-                tile, members = tile[once], np.array(members)[once]
-                own = [np.frombuffer(raw[i], np.uint64) for i in once]
+                members, own = np.array(members), [np.frombuffer(x, np.uint64) for x in raw]
                 size = np.array([len(s) for s in own])
-                left, right = _sides(ta, tb, tile)
-                if not len(left) or not len(right):
-                    continue
-                shared = intersections(own, left, right)
-                union = size[left][:, None] + size[right][None, :] - shared
+                every = np.arange(len(ids))
+                shared = intersections(own, every, every)
+                union = size[:, None] + size[None, :] - shared
                 x, y = np.nonzero(shared >= similarity * union - 1e-9)
-                x, y = left[x], right[y]
-                keep = x < y if ta == tb else x != y
+                keep = (x < y) & (own_box[x] | (tile[x] != tile[y]))
                 x, y = x[keep], y[keep]
                 links = np.bincount(x, members[y], minlength=len(ids)) + np.bincount(y, members[x], minlength=len(ids))
                 top = roots(len(ids), np.column_stack([x, y]))
-                has, at = np.flatnonzero(links), np.flatnonzero(top != np.arange(len(ids)))
+                has, at = np.flatnonzero(links), np.flatnonzero(top != every)
                 count.append(np.column_stack([ids[has], links[has].astype(np.int64)]))
                 forest.append(np.column_stack([ids[at], ids[top[at]]]))
             c = np.concatenate(count) if count else np.zeros((0, 2), np.int64)
@@ -342,16 +376,18 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     def sign(t: pa.Table) -> pa.Table:
         sets = [shingler().of(x) for x in t["text"].to_pylist()]
         sigs = [signature(s).tobytes() if len(s) else None for s in sets]
-        return pa.table([t["key"], pa.array(map(class_of, sets), pa.binary()), pa.array(sigs, pa.binary())], ["key", "class", "sig"])
+        return pa.table([t["key"], pa.array(map(class_of, sets), pa.binary()), pa.array(sigs, pa.binary()), pa.array([s.nbytes for s in sets], pa.int64())], ["key", "class", "sig", "bytes"])
 
-    rows = stored(slim.mapInArrow(each_table(sign), "key long, class binary, sig binary"), "signed")
-    classes = rows.filter("class is not null and key is not null").groupBy("class").agg(F.min("key").alias("id"), F.count("*").alias("members"), F.first("sig").alias("sig"))
+    rows = stored(slim.mapInArrow(each_table(sign), "key long, class binary, sig binary, bytes long"), "signed")
+    classes = rows.filter("class is not null and key is not null").groupBy("class").agg(F.min("key").alias("id"), F.count("*").alias("members"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
     classes = stored(classes, "classes")
     groups = components(candidate_pairs(classes, similarity), "a", "b")
     groups = stored(groups.select(F.col("node").alias("of"), F.col("component").alias("group")), "groups")
-    sizes = groups.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("n"))
-    grouped = groups.join(sizes, F.col("group") == F.col("g")).join(classes.select("id", "class", "members"), F.col("of") == F.col("id")).select("id", "group", "n", "members", "class")
-    found = stored(exact_links(slim, grouped, similarity), "links")
+    named = groups.join(classes.select("id", "class", "members", F.col("bytes").alias("own")), F.col("of") == F.col("id"))
+    sizes = named.groupBy(F.col("group").alias("g")).agg(F.count("*").alias("n"), F.sum("own").alias("bytes"))
+    grouped = named.join(sizes, F.col("group") == F.col("g")).select("id", "group", "n", "bytes", "members", "class")
+    repeated = not rows.filter("key is not null").groupBy("key").count().filter("count > 1").isEmpty()
+    found = stored(exact_links(slim, grouped, similarity, repeated), "links")
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     reached = components(found.filter("b is not null").select("a", "b"), "a", "b")
     told = classes.select(F.col("class").alias("of"), "id", "members").join(links, F.col("id") == F.col("a"), "left").join(reached, F.col("id") == F.col("node"), "left")

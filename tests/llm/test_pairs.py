@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselens.llm import embed_dedup, ngram_join
-from caselens.llm.common import components, roots
+from caselens.llm.common import components, order_for, roots, through
 
 
 def reached(n, links):
@@ -93,7 +93,7 @@ def test_equal_coordinates_are_dealt_on(spark):
 @pytest.mark.parametrize("q", [2, 3, 5, 7])
 def test_any_two_tiles_meet_in_one_task(q):
     n = q * q + q + 1
-    lines = [set(embed_dedup.through(k, q)) for k in range(n)]
+    lines = [set(through(k, q)) for k in range(n)]
     assert all(len(x) == q + 1 and max(x) < n for x in lines)
     assert all(len(lines[a] & lines[b]) == 1 for a in range(n) for b in range(a))
     assert all((p in lines[k]) == (k in lines[p]) for p in range(n) for k in range(n))
@@ -101,9 +101,9 @@ def test_any_two_tiles_meet_in_one_task(q):
 
 def test_copies_of_a_million_vectors():
     """Of 64 floats: three copies, tasks within their bytes; and bounded however many."""
-    assert embed_dedup.order_for(1_000_000 * 256, embed_dedup.TASK_BYTES) == 2
+    assert order_for(1_000_000 * 256, embed_dedup.TASK_BYTES) == 2
     for n in (10**7, 10**8):
-        q = embed_dedup.order_for(n * 256, embed_dedup.TASK_BYTES)
+        q = order_for(n * 256, embed_dedup.TASK_BYTES)
         assert n * 256 * (q + 1) / (q * q + q + 1) <= embed_dedup.TASK_BYTES and q <= 1.25 * n * 256 / embed_dedup.TASK_BYTES + 2
 
 
@@ -159,6 +159,7 @@ def near_texts(seed=7):
 def test_join_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 40)
     monkeypatch.setattr(ngram_join, "SIGNATURES", 50)
+    monkeypatch.setattr(ngram_join, "BOX", 30)
     texts = near_texts()
     rows = list(enumerate(texts)) + [(1000, texts[0]), (1001, texts[0] + " \n"), (1002, None), (1003, ""), (1004, " \t"), (1005, "two words"), (1006, "two words"), (1007, "two  words x"), (5, texts[5]), (1008, "w " * 30000)]
     docs = spark.createDataFrame(rows + [(None, texts[0])], "doc_id long, text string").withColumns({"class": F.lit(1), "id": F.lit("x"), "group": F.lit(0), "n": F.lit(0), "key": F.lit("k")})
@@ -186,6 +187,56 @@ def test_large_groups_of_like_signatures_are_found(spark, monkeypatch):
     assert got == Counter((100 * g + k, 100 * g, 29) for g in range(8) for k in range(30))
 
 
+def test_boxes_of_long_texts_are_bounded(spark, monkeypatch):
+    """Near-copies of a million words: a box holds few of them, and all links are found."""
+    words = [f"w{i}" for i in range(1_000_000)]
+    texts = [(k, " ".join(words[:500_000] + [f"x{k}"] + words[500_000:])) for k in range(9)]
+    monkeypatch.setattr(ngram_join, "BOX_BYTES", 30 << 20)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.joined(docs).collect())
+    assert got == Counter((k, 0, 8) for k in range(9))
+    q = ngram_join.box_order(9, 9 * 8_000_000)
+    held = Counter(box for k in range(9) for box, _, _ in ngram_join.places(k, q))
+    assert q and max(held.values()) < 9
+
+
+@pytest.mark.parametrize("q", [0, 2, 5])
+def test_any_two_members_meet_once(q):
+    at = {i: ngram_join.places(i, q) for i in range(120)}
+    for a in at:
+        for b in range(a):
+            meet = [1 for box, tile, own in at[a] for other, there, _ in at[b] if box == other and (tile != there or own)]
+            assert len(meet) == 1
+
+
+def test_a_row_repeated_often_is_compared_once(spark):
+    rng = random.Random(13)
+    text = " ".join("".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(60))
+    rows = [(1, text)] * 3000 + [(2, text + " end"), (3, text)]
+    got = Counter(map(tuple, ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == Counter({(1, 1, 3001): 3000, (2, 1, 3001): 1, (3, 1, 3001): 1})
+
+
+def test_links_of_the_test_documents(spark):
+    """Every link at 0.8 among the documents of the test table, by brute force over shared
+    shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for i, t in docs.collect():
+        w = [x for x in (t or "").translate(ngram_join.Shingler.table).split(" ") if x]
+        if w:
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    shared = Counter((a, b) for h in holders.values() if len(h) > 1 for k, b in enumerate(h) for a in h[:k])
+    links = [p for p, n in shared.items() if 5 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    n = Counter(i for p in links for i in p)
+    assert len(links) > 50
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.joined(docs).collect()} == {r["doc_id"]: n[r["doc_id"]] for r in docs.collect()}
+
+
 def test_other_texts_of_a_repeated_key_stay(spark):
     rng = random.Random(12)
     a, b, c, d = (" ".join("".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(60)) for _ in range(4))
