@@ -238,3 +238,33 @@ def test_labels_by_brute_force(spark):
     want = {tuple(r)[:2]: r["s"] for r in want.collect()}
     got = {(r["drug_name_normalized"], r["adverse_event"]): r["label_section"] for r in labels.label_flags(p, t).collect()}
     assert len(got) == p.count() and {k: v for k, v in got.items() if v} == want and len(want) > 50
+
+
+def test_labels_whose_texts_fill_no_row(spark):
+    """A section's texts together are 2.2 GB, more than a row holds, though each is short of words."""
+    t = spark.range(0, 220, 1, 44).select(F.lit("d").alias("drug"), F.lit("warnings").alias("section"), F.rpad(F.concat(F.lit("nausea w"), "id"), 10_000_000, " ").alias("text"))
+    p = spark.createDataFrame([("D", e) for e in ("NAUSEA", "rash")], "drug_name_normalized string, adverse_event string")
+    got = {r["adverse_event"]: (r["label_section"], r["label_status"]) for r in labels.label_flags(p, t).collect()}
+    assert got == {"NAUSEA": ("warnings", "labeled"), "rash": (None, "novel")}
+
+
+def test_labels_of_long_tokens_and_across_texts(spark):
+    """Needles at every place of tokens that are looked up in pieces, and short pieces that
+    stand at the end of one text and at the start of the next, with empty texts between."""
+    rng = random.Random(7)
+    long = ["".join(rng.choice("abc") for _ in range(n)) for n in (255, 256, 257, 300, 511, 513, 900)]
+    rows = [(f"l{i}", "warnings", x) for i, x in enumerate(long)]
+    rows += [(f"s{i % 4}", rng.choice(["warnings", "boxed_warning"]), rng.choice(["", "a", "b 1", "1", "a b", " a"])) for i in range(24)] + [("none", "warnings", None)]
+    events = sorted({x[i : i + n] for x in long for n in (4, 9) for i in range(0, len(x), 3)}) + [long[3][-5:], "a b", "b 1 1", "1  a", "a  a a", "b a", "a 1 b", "1 1 1 1"]
+    t = spark.createDataFrame(rows, "drug string, section string, text string")
+    p = spark.createDataFrame([(d, e) for d in sorted({r[0] for r in rows}) for e in dict.fromkeys(events)], "drug_name_normalized string, adverse_event string")
+    from caselens.functions import text as f
+
+    merged = labels.merged_sections(t).select(F.col("drug").alias("drug_name_normalized"), "section", "rank", "text")
+    want = p.join(merged, "drug_name_normalized").filter(f.event_in_section(F.col("text"), F.col("adverse_event"))).groupBy("drug_name_normalized", "adverse_event").agg(F.min_by("section", "rank").alias("s"))
+    want = {tuple(r)[:2]: r["s"] for r in want.collect()}
+    for these in (p, p.filter(~F.col("adverse_event").contains(" "))):  # with and without needles that are no letters
+        asked = {tuple(r) for r in these.collect()}
+        got = {(r["drug_name_normalized"], r["adverse_event"]): r["label_section"] for r in labels.label_flags(these, t).collect()}
+        assert set(got) == asked and {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if k in asked}
+    assert sum(k[0][0] == "s" for k in want) > 8
