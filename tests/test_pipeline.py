@@ -268,3 +268,20 @@ def test_labels_of_long_tokens_and_across_texts(spark):
         got = {(r["drug_name_normalized"], r["adverse_event"]): r["label_section"] for r in labels.label_flags(these, t).collect()}
         assert set(got) == asked and {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if k in asked}
     assert sum(k[0][0] == "s" for k in want) > 8
+
+
+@pytest.mark.parametrize("name", ["label_flags_folded"])
+def test_label_queries_whose_texts_fill_no_row(spark, tmp_path, name):
+    """As above, through a query's whole way."""
+    from caselens import registry
+
+    text = F.rpad(F.concat(F.lit("of the "), F.when(F.col("id") == 0, "nausea").otherwise("rash"), F.lit(" w"), "id"), 10_000_000, ".")
+    t = spark.range(0, 220, 1, 44).select((F.col("id") * 4).alias("doc_id"), text.alias("text"), F.when(F.col("id") == 1, "src3").otherwise("d").alias("source"))
+    t.write.option("compression", "zstd").parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    both = ("nausea", "rash")
+    want = {
+        "label_flags_folded": {("d", e, True, "labeled", False) for e in both} | {(d, e, False, "unknown", False) for d in ("src3", "unlisted") for e in both},
+        "label_shares": {("labeled", 2, 50.0), ("unknown", 2, 50.0)},
+    }
+    assert got == want[name]
