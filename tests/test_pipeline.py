@@ -270,7 +270,7 @@ def test_labels_of_long_tokens_and_across_texts(spark):
     assert sum(k[0][0] == "s" for k in want) > 8
 
 
-@pytest.mark.parametrize("name", ["label_flags_folded"])
+@pytest.mark.parametrize("name", ["label_flags_folded", "label_shares"])
 def test_label_queries_whose_texts_fill_no_row(spark, tmp_path, name):
     """As above, through a query's whole way."""
     from caselens import registry
